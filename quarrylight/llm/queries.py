@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import ngram_jaccard_join
+from .substring_dedup import repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +35,22 @@ SELECT doc_a, doc_b, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >
 UNION ALL SELECT rep, doc_id, 1e0 FROM s JOIN r USING (sig) WHERE doc_id <> rep
 """
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents"), least=50)
+
+
+OP3 = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS gram FROM i),
+c AS (SELECT gram, min(doc_id * 1000000000 + i) AS least FROM g GROUP BY gram HAVING count(*) > 1),
+r AS (SELECT doc_id, i, false AS earlier FROM g JOIN c USING (gram)
+      UNION ALL SELECT doc_id, i, true FROM g JOIN c USING (gram) WHERE doc_id * 1000000000 + i > least),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id, earlier ORDER BY i)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, earlier ORDER BY i) AS island FROM n)
+SELECT doc_id, earlier, min(i)::INT AS start_word, max(i)::INT + 50 AS end_word, (max(i) - min(i))::INT + 50 AS n_words
+FROM s GROUP BY doc_id, earlier, island
+"""
+
+QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3}
