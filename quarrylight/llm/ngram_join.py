@@ -17,8 +17,9 @@ that every possible pair meets in one of them.
 Plan: documents -> packed (token, set) by token range (shuffle 1) -> document
 frequencies; tokens of one set only match nothing and end here -> back to
 their sets (shuffle 2, what is repeated only) -> signatures (shuffle 3) ->
-distinct candidate pairs -> verified on the repeated tokens, which hold every
-intersection.  Rows travel packed, because a Spark row for each of the
+groups of sets connected by signatures, which hold every candidate pair ->
+each group's pairs verified at once, as a matrix product over its repeated
+tokens, which hold every intersection.  Rows travel packed, because a Spark row for each of the
 corpus's n-grams would be several times the corpus.  Documents with equal sets
 are one item throughout; each of them is linked to the one with the least id,
 so thousands of copies give as many rows, not their square.
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import checkpoint, pack, partitions, text_bytes, unpack
+from .components import components, local_components
 from .textkernel import buffers, mix, ngrams, pieces, words
 
 #: Document frequencies up to which a token is of class 1 and 2.
 CLASSES = (64, 1024)
-#: N-grams a task gathers before it packs them; n-grams, and bytes of text, for each reducer.
-FLUSH, TOKENS_EACH, BYTES_EACH = 1_500_000, 3_000_000, 18_000_000
+#: N-grams a task gathers before it packs them; bytes of text for each reducer.
+FLUSH, BYTES_EACH = 1_500_000, 18_000_000
 
 _LOW = np.uint64((1 << 40) - 1)
 _SMALL = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("body", pa.binary()), ("sets", pa.binary())])
@@ -242,12 +244,12 @@ def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float) -> np.ndarr
 
 
 def _sign(t: float, parts: int):
-    def flush(keys, sig, size) -> pa.RecordBatch:
+    def flush(keys, sig) -> pa.RecordBatch:
         part = (keys % np.uint64(parts)).astype(np.int64)
         o = np.lexsort((keys, part))
-        keys, sig, size, part = keys[o], sig[o], size[o], part[o]
+        keys, sig, part = keys[o], sig[o], part[o]
         b = _bounds(part)
-        return _batch(_SMALL, [(int(part[s]), 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), sig[s:e], size[s:e]), None) for s, e in zip(b[:-1], b[1:])])
+        return _batch(_SMALL, [(int(part[s]), 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), sig[s:e]), None) for s, e in zip(b[:-1], b[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -257,7 +259,7 @@ def _sign(t: float, parts: int):
                     delta, df = unpack(body, np.uint64, np.uint16)
                     keys = signatures(np.cumsum(delta, dtype=np.uint64), df, size, t)
                     if len(keys):
-                        held.append((keys, np.full(len(keys), a).view(np.uint64), np.full(len(keys), size, np.uint32)))
+                        held.append((keys, np.full(len(keys), a).view(np.uint64)))
                         count += len(keys)
                     if count > FLUSH:
                         yield flush(*map(np.concatenate, zip(*held)))
@@ -268,63 +270,76 @@ def _sign(t: float, parts: int):
     return run
 
 
-def _pair(t: float):
-    """Distinct pairs of sets that share a signature and whose sizes allow the threshold."""
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets that share a signature, as a forest: each with the least set it is linked to here."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                delta, sig, size = unpack(body, np.uint64, np.uint64, np.uint32)
-                held.append((np.cumsum(delta, dtype=np.uint64), sig, size))
-        if not held:
-            return
-        keys, sig, size = map(np.concatenate, zip(*held))
-        own, at = np.unique(sig, return_inverse=True)
-        o = np.lexsort((size, at, keys))
-        keys, at, size = keys[o], at[o].astype(np.int64), size[o]
-        found, count = [], 0
-
-        def distinct():
-            return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-        left = np.arange(len(keys) - 1)
-        k = 1
-        while len(left):
-            left = left[left + k < len(keys)]
-            left = left[keys[left] == keys[left + k]]
-            i, j = left, left + k
-            ok = (at[i] != at[j]) & (np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9)
-            i, j = at[i[ok]], at[j[ok]]
-            if len(i):
-                found.append(np.unique(np.minimum(i, j) * len(own) + np.maximum(i, j)))
-                count += len(found[-1])
-            if count > 4_000_000:
-                found = [distinct()]
-                count = len(found[0]) // 2
-            k += 1
-        pairs, own = distinct(), own.view(np.int64)
-        for s in range(0, len(pairs), 100_000):
-            p = pairs[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own[p // len(own)]), pa.array(own[p % len(own)])], schema=schema)
-
-    return run
-
-
-def _verify(t: float):
-    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for ia, na, xa, ib, nb, xb in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (np.cumsum(unpack(v, np.uint64, np.uint16)[0], dtype=np.uint64) for v in (xa, xb))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                j = both / (na + nb - both)
-                if j >= t - 1e-9 and ia != ib:
-                    rows.append((min(ia, ib), max(ia, ib), j))
-            yield _batch(schema, rows)
+    held = []
+    for batch in batches:
+        for body in batch.column("body").to_pylist():
+            delta, sig = unpack(body, np.uint64, np.uint64)
+            held.append((np.cumsum(delta, dtype=np.uint64), sig))
+    if not held:
+        return
+    keys, sig = map(np.concatenate, zip(*held))
+    own, at = np.unique(sig.view(np.int64), return_inverse=True)
+    o = np.argsort(keys, kind="stable")
+    keys, at = keys[o], at[o]
+    b = _bounds(keys)
+    head = at[np.repeat(b[:-1], np.diff(b))]
+    edge = np.unique(head[head != at] * len(own) + at[head != at])
+    label = local_components(len(own), edge // len(own), edge % len(own))
+    moved = np.flatnonzero(label != np.arange(len(own)))
+    for s in range(0, len(moved), 50_000):
+        x = moved[s : s + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(own[label[x]])], schema=schema)
+
+
+#: Sets of one tile: larger groups of candidates are compared tile by tile, on as many tasks.
+TILE = 1500
+_FOUND = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+
+
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Common tokens of each of the first ``left`` sets with each set."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, tok, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = times[tok] > 1
+    place = np.cumsum(times > 1) - 1
+    of, tok = of[many], place[tok[many]]
+    out = np.zeros((left, len(sets)), np.float32)
+    o = np.argsort(tok)
+    of, tok = of[o], tok[o]
+    wide = 4096
+    for at in range(0, int(tok[-1]) + 1 if len(tok) else 0, wide):
+        s, e = np.searchsorted(tok, [at, at + wide])
+        block = np.zeros((len(sets), min(wide, int(tok[-1]) + 1 - at)), np.float32)
+        block[of[s:e], tok[s:e] - at] = 1
+        out += block[:left] @ block.T
+    return out
+
+
+def _compare(t: float):
+    """Pairs of one tile of a group, or of two, that reach the threshold."""
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own = np.asarray(table.column("tile"))
+        o = np.argsort(own != i, kind="stable")
+        left = int((own == i).sum())
+        ids, size = np.asarray(table.column("b"))[o], np.asarray(table.column("size"))[o].astype(np.float64)
+        body = table.column("body").to_pylist()
+        both = overlaps([np.cumsum(unpack(body[k], np.uint64, np.uint16)[0], dtype=np.uint64) for k in o], left)
+        jaccard = both / (size[:left, None] + size[None, :] - both)
+        ok = jaccard >= t - 1e-9
+        if i == j:
+            ok &= np.arange(left)[:, None] < np.arange(len(ids))[None, :]
+        else:
+            ok[:, :left] = False
+        x, y = np.nonzero(ok)
+        value = jaccard[x, y]
+        x, y = ids[x], ids[y]
+        real = x != y
+        return pa.Table.from_arrays([pa.array(np.minimum(x, y)[real]), pa.array(np.maximum(x, y)[real]), pa.array(value[real])], schema=_FOUND)
 
     return run
 
@@ -350,17 +365,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     spread = own.mapInArrow(_spread(n, parts), _ROWS).repartitionById(parts, F.col("part"))
     sets = spread.mapInArrow(_count(parts), _ROWS).repartitionById(parts, F.col("part"))
     items = checkpoint(sets.mapInArrow(_gather, "kind int, a long, b long, size int, body binary"))
-    item = items.where("kind = 0")
-    some = partitions(spark, size, 4 * BYTES_EACH)
+    item = items.where("kind = 0").select("a", "b", "size", "body")
+    some = max(2 * spark.sparkContext.defaultParallelism, -(-size // (4 * BYTES_EACH)))
+    links = item.mapInArrow(_sign(threshold, some), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
+    groups = components(links)
+    tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     pairs = (
-        item.select("a", "size", "body")
-        .mapInArrow(_sign(threshold, some), _ROWS)
-        .repartitionById(some, F.col("part"))
-        .mapInArrow(_pair(threshold), "a long, b long")
-        .distinct()
+        item.join(placed, item.a == placed.node)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+        .select("component", "i", "j", "tile", "b", "size", "body")
+        .groupBy("component", "i", "j")
+        .applyInArrow(_compare(threshold), "doc_a long, doc_b long, jaccard double")
     )
-    a = item.select("a", F.col("b").alias("ia"), F.col("size").alias("na"), F.col("body").alias("xa"))
-    b = item.select(F.col("a").alias("b"), F.col("b").alias("ib"), F.col("size").alias("nb"), F.col("body").alias("xb"))
-    near = pairs.join(a, "a").join(b, "b").select("ia", "na", "xa", "ib", "nb", "xb").mapInArrow(_verify(threshold), "doc_a long, doc_b long, jaccard double")
     same = items.where("kind = 1").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same).dropDuplicates(["doc_a", "doc_b"])
+    return pairs.unionByName(same)
