@@ -1,16 +1,77 @@
-"""The corpus pipeline: documents -> stages -> packed windows."""
+"""The corpus pipeline: documents -> toxicity -> near duplicates -> repeated passages -> mixing -> packing."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylight.llm.components import components
+from quarrylight.llm.mixing import mix_sources
+from quarrylight.llm.ngram_join import ngram_jaccard_join
+from quarrylight.llm.packing import pack_documents
+from quarrylight.llm.substring_dedup import remove_repeats
+from quarrylight.llm.toxicity import fit, score_toxicity
 
-STAGES: list = []
+#: Not expressible: compression lengths and packing have no SQL.
 ORACLE_SQL: str | None = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go.  It is trained on the labelled documents of the folder."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).where("not toxic").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group connected by n-gram Jaccard pairs the document with the least id stays."""
+    pairs = ngram_jaccard_join(docs, n=3, threshold=0.5)
+    gone = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).where("node > component").select(F.col("node").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur before are cut; a document that had nothing else goes."""
+    return remove_repeats(docs, least=50)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources get shares by the square root of their size."""
+    return mix_sources(docs, alpha=0.5, epochs=1.0, seed=7).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2048 tokens."""
+    return pack_documents(docs, capacity=2048)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; between stages documents are written as Parquet and read again.
+
+    They go to the shared folder of spark.checkpoint.dir, or where none is set,
+    as in local tests, to a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pipeline-")
+    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{base}/{k}-{name}")
+            docs = spark.read.parquet(f"{base}/{k}-{name}")
     return docs

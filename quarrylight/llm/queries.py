@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
 from .substring_dedup import repeated_spans
+from .toxicity import fit, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +55,35 @@ SELECT doc_id, earlier, min(i)::INT AS start_word, max(i)::INT + 50 AS end_word,
 FROM s GROUP BY doc_id, earlier, island
 """
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3}
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "toxic_score", "toxic_word", "toxic")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0, seed=7)
+
+
+OP10 = """
+WITH d AS (SELECT *, coalesce(source, '') AS s, coalesce(length(text), 0) AS c FROM documents),
+z AS (SELECT s, sum(c)::DOUBLE AS c, CASE WHEN sum(c) > 0 THEN floor(pow(sum(c)::DOUBLE, 5e-1)) ELSE 0 END AS wish FROM d GROUP BY s),
+e AS (SELECT s, CASE WHEN c > 0 THEN round(1e6 * wish / (SELECT sum(wish) FROM z) * (SELECT sum(c) FROM z) / c) ELSE 0 END::BIGINT AS e,
+      ('0x' || substr(md5('7:' || s), 1, 8))::BIGINT % 1000000 AS u FROM z),
+p AS (SELECT d.*, e, u + sum(e) OVER (PARTITION BY s ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS reach FROM d JOIN e USING (s)),
+k AS (SELECT *, (reach // 1000000 - (reach - e) // 1000000)::INT AS n FROM p)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM k WHERE n > 0
+"""
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op10_mixing": op10_mixing,
+}
+ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3, "op10_mixing": OP10}

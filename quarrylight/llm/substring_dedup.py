@@ -320,3 +320,52 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
         F.col("doc").alias("doc_id"), F.lit(0).alias("start"), F.col("pos").alias("stop"), F.explode(F.when(F.col("kind") == 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("earlier")
     )
     return _union(spans.unionByName(copies)).withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
+def _remove(names: list[str], text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            buf, offs = buffers(batch.column(text_col))
+            d, s, e, _ = words(buf, offs)
+            count = np.bincount(d, minlength=batch.num_rows)
+            first = np.cumsum(count) - count
+            raw, out, keep = buf.tobytes(), [], []
+            for i, spans in enumerate(batch.column("r_spans").to_pylist()):
+                if spans is None:
+                    out.append(batch.column(text_col)[i].as_py())
+                    keep.append(True)
+                    continue
+                cut, left, at = [], 0, int(offs[i])
+                for a, b in sorted((x["start_word"], x["end_word"]) for x in spans):
+                    b = min(b, int(count[i]))
+                    if a >= b:
+                        continue
+                    cut.append(raw[at : s[first[i] + a]])
+                    at = int(s[first[i] + b]) if b < count[i] else int(offs[i + 1])
+                    left += b - a
+                cut.append(raw[at : offs[i + 1]])
+                out.append(b"".join(cut).decode("utf-8", "replace").rstrip() if left else raw[offs[i] : offs[i + 1]].decode("utf-8", "replace"))
+                keep.append(left < count[i] or not left)
+            cols = [pa.array(out, f.type) if f.name == text_col else batch.column(f.name) for f in batch.schema if f.name in names]
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in batch.schema if f.name in names]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs without the passages that occur before, so that one copy of each stays.
+
+    Of a row that loses words, the text and, if there is one, ``length_col`` are
+    new; a row that loses all its words goes.  Rows without id, text or words
+    stay as they are.  Every row of a repeated id loses the intervals of that id,
+    and of equal rows of one id all stay.  Other columns stay.
+    """
+    if "r_spans" in (c.lower() for c in docs.columns):
+        raise ValueError("the column r_spans is in use here")
+    spans = repeated_spans(docs, least, id_col, text_col).where("earlier").groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("r_spans"))
+    names = docs.columns
+    cut = docs.join(spans, F.col(id_col).cast("long") == F.col("r_id"), "left").drop("r_id")
+    out = cut.mapInArrow(_remove(names, text_col), docs.schema)
+    if length_col in names:
+        out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), length_col))
+    return out
