@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_rules
+from .chat import rotate_perspectives
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .nn_descent import near_duplicate_edges
 from .packing import pack_documents
 from .substring_dedup import repeated_spans
 from .toxicity import fit, score_toxicity
+from .warc import capture_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,11 +83,79 @@ k AS (SELECT *, (reach // 1000000 - (reach - e) // 1000000)::INT AS n FROM p)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM k WHERE n > 0
 """
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.language_spans(docs, language_id.fit(docs))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index(_table(spark, sf_dir, "pages"))
+
+
+OP5 = r"""
+WITH u AS (SELECT page_id, url, 1704067200 + page_id * 37 AS ts, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS length,
+             regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '^[a-z][a-z0-9+.-]*://', '') AS u FROM pages WHERE trim(coalesce(url, '')) <> ''),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '^([^/?]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^www[0-9]*\.', '') AS host,
+        regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS q FROM u),
+c AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS urlkey FROM k)
+SELECT row_number() OVER (ORDER BY urlkey, ts, page_id) - 1 AS position, urlkey, ts, page_id, url, digest, length,
+       (row_number() OVER h)::INT AS capture, coalesce(lag(digest) OVER h = digest, false) AS revisit
+FROM c WINDOW h AS (PARTITION BY urlkey ORDER BY ts, page_id)
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, rules).select("doc_id", "rule", "reason", "keep")
+
+
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_edges(_table(spark, sf_dir, "embeddings"), threshold=0.9).withColumn("cosine", F.round("cosine", 5))
+
+
+OP8 = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c
+      FROM e a JOIN e b ON a.vec_id < b.vec_id)
+SELECT vec_a, vec_b, round(c, 5) AS cosine FROM p WHERE c >= 9e-1
+"""
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+OP9 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+p AS (SELECT conv_id, speaker, turn, role, said, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
+        ELSE '<|user name=' || regexp_replace(role, '[^0-9A-Za-z_-]', '_', 'g') || '|>' END || chr(10) AS head FROM s JOIN t USING (conv_id)),
+o AS (SELECT *, head || said || '<|end|>' || chr(10) AS part, sum(length(head || said) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role, said ROWS UNBOUNDED PRECEDING) AS stop FROM p)
+SELECT conv_id, speaker, string_agg(part, '' ORDER BY turn, role, said) AS text,
+       list([(stop - length(said) - 8)::INT, stop::INT] ORDER BY turn, role, said) FILTER (role = speaker) AS mask,
+       count(*)::INT AS n_turns, (count(*) FILTER (role = speaker))::INT AS n_learned
+FROM o GROUP BY conv_id, speaker
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
+    "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_nn_descent": op8_nn_descent,
+    "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op2_ngram_jaccard_join": OP2, "op3_substring_dedup": OP3, "op10_mixing": OP10}
+ORACLE_SQL = {
+    "op2_ngram_jaccard_join": OP2,
+    "op3_substring_dedup": OP3,
+    "op5_warc": OP5,
+    "op8_nn_descent": OP8,
+    "op9_chat": OP9,
+    "op10_mixing": OP10,
+}
