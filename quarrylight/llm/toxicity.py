@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .textkernel import buffers, fold_bytes, mix, pieces, words
 
 #: Labelled documents of each class that training reads at most.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1500
 #: Bytes of the dictionaries, recoded.
 TOXIC_BYTES, ORDINARY_BYTES = 65_536, 65_536
 #: Lengths in bytes of the strings that tell toxic text; how many toxic documents one must be in (from few to many labels), and how many times more often than in ordinary ones.
@@ -73,7 +73,7 @@ def _grams(b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _frequencies(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(g) for g in grams] or [np.zeros(0, np.uint64)]), return_counts=True)
+    return np.unique(np.concatenate(grams or [np.zeros(0, np.uint64)]), return_counts=True)
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -89,13 +89,12 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     on = [np.zeros(len(b) + 2, np.int8) for b in sides[0]]
     least = min(max(LEAST_DOCS[0], -(-len(toxic) // 50)), LEAST_DOCS[1])
     for n in GRAMS:
-        grams = [[_grams(b, n) for b in side] for side in sides]
-        (gt, ct), (go, co) = map(_frequencies, grams)
+        (gt, ct), (go, co) = (_frequencies([np.unique(_grams(b, n)) for b in side]) for side in sides)
         at = np.minimum(np.searchsorted(go, gt), max(0, len(go) - 1))
         other = np.where(go[at] == gt, co[at], 0) if len(go) else np.zeros(len(gt))
         marks = gt[(ct >= least) & (ct * max(1, len(ordinary)) >= RATIO * (other + 0.5) * max(1, len(toxic)))]
-        for m, g in zip(on, grams[0]):
-            hit = np.flatnonzero(np.isin(g, marks))
+        for m, b in zip(on, sides[0]):
+            hit = np.flatnonzero(np.isin(_grams(b, n), marks))
             for k in range(n):
                 m[hit + 1 + k] = 1
     parts: dict[bytes, int] = {}
