@@ -124,52 +124,46 @@ class FMIndex:
             out[of] = np.minimum(self.least[v][sp[of]], self.least[v][ep[of] - (1 << int(v))])
         return out
 
-    def matches(self, symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray, least: int, times: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of streamed pieces, from the right, where they reach ``least``.
-
-        symbols: 0 where the word isn't in the index.  ends: where each piece
-        ends in symbols.  times: a match counts if the index holds it so often.
-        own: global position of symbols[0]'s piece start is own[i] - see caller.
-        Returns starts (index into symbols), longest match, and the longest match
-        with an occurrence before the start itself (0: under ``least``).
+    def matches(self, symbols: np.ndarray, begin: np.ndarray, ends: np.ndarray, least: int, times: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed stretches [begin, end) of symbols, where they reach ``least``.
+
+        symbols: 0 where the word isn't in the index.  times: a match counts if
+        the index holds it so often.  own: place of each symbol in the order of
+        the indexed text.  A stretch is read from its end; its matches end in it.
+        Returns the starts, the longest match of each, and the longest one with
+        an occurrence before the start itself (0: under ``least``).
         """
-        at = ends.astype(np.int64).copy()
-        begin = ends - lengths
+        at, begin = ends.astype(np.int64).copy(), begin.astype(np.int64)
         sp, ep, q = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), np.zeros(len(at), np.int64)
         live = np.flatnonzero(at > begin)
         found = []
+        shift = self.first - self.begin
         while len(live):
             c = symbols[at[live] - 1]
-            s, e = sp[live], ep[live]
-            known = c > 0
-            ns, ne = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
-            if known.any():
-                k = c[known]
-                base = self.first[k] - self.begin[k]
-                ns[known] = base + self.wavelet.follow(k, s[known])
-                ne[known] = base + self.wavelet.follow(k, e[known])
-            ok = (ne > ns) & (self.weight[ne] - self.weight[ns] >= times)
+            both = self.wavelet.follow(np.concatenate([c, c]), np.concatenate([sp[live], ep[live]])) + np.concatenate([shift[c], shift[c]])
+            ns, ne = both[: len(live)], both[len(live) :]
+            ok = (c > 0) & (ne > ns)
+            ok &= self.weight[np.where(ok, ne, 0)] - self.weight[np.where(ok, ns, 0)] >= times
             go = live[ok]
             sp[go], ep[go], q[go] = ns[ok], ne[ok], q[go] + 1
             at[go] -= 1
             reach = go[q[go] >= least]
             if len(reach):
-                found.append((at[reach].copy(), q[reach].copy(), self._before(sp[reach], ep[reach], q[reach], own[at[reach]], least)))
-            no = ~ok
-            root = no & (q[live] == 0)
-            at[live[root]] -= 1
-            up = live[no & ~root]
-            if len(up):
-                lost = symbols[at[up] - 1] == 0
-                dead = up[lost]
-                sp[dead], ep[dead], q[dead] = 0, self.n, 0
-                up = up[~lost]
+                found.append((at[reach], q[reach], sp[reach], ep[reach]))
+            no = live[~ok]
+            if len(no):
+                drop = (q[no] == 0) | (c[~ok] == 0)
+                skip = no[drop]
+                at[skip] -= 1
+                sp[skip], ep[skip], q[skip] = 0, self.n, 0
+                up = no[~drop]
                 sp[up], ep[up], q[up] = self._parent(sp[up], ep[up])
             live = live[at[live] > begin[live]]
         if not found:
             z = np.zeros(0, np.int64)
             return z, z, z
-        return tuple(np.concatenate(x) for x in zip(*found))
+        at, q, sp, ep = map(np.concatenate, zip(*found))
+        return at, q, self._before(sp, ep, q, own[at], least)
 
     def _parent(self, s, e):
         k = np.where(self.lcp[s] >= self.lcp[e], s, e)

@@ -28,7 +28,9 @@ from .ngram_join import BYTES_EACH, _batch, _bounds
 from .textkernel import buffers, mix, ngrams, pieces, words
 
 #: Words of an anchor; words of one FM-index (a shard with more has several, and streams through each).
-K, INDEX_WORDS = 8, 1_200_000
+K, INDEX_WORDS = 8, 1_000_000
+#: Longer pieces are streamed in stretches of so many words, each with the context a match needs.
+STRETCH = 192
 
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("body", pa.binary()), ("words", pa.binary())])
 _ROWS = "part int, kind int, body binary, words binary"
@@ -251,7 +253,10 @@ def repeats(doc, start, length, text, least: int, index_words: int = INDEX_WORDS
         base = lo + int(inside[0])
         for these, at_least in ((inside, 2), (np.flatnonzero(block != k), 1)):
             if len(these):
-                found.append(index.matches(to[symbols], ends[these], n[these], least, at_least, own - base))
+                many = -(-n[these] // STRETCH)
+                piece = np.repeat(these, many)
+                begin = (ends - n)[piece] + (np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+                found.append(index.matches(to[symbols], begin, np.minimum(ends[piece], begin + STRETCH + least), least, at_least, own - base))
     at, q, before = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     piece = np.searchsorted(ends, at, "right")
     off = at - (ends - n)[piece]
@@ -312,7 +317,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     parts = partitions(spark, text_bytes(own, "text"), BYTES_EACH)
     found = checkpoint(own.mapInArrow(_find(least, parts), _ROWS).repartitionById(parts, F.col("part")).mapInArrow(_repeated, "kind int, doc long, same long, pos int, anchor long"))
     anchors = found.where("kind = 0")
-    shards = partitions(spark, anchors.count() * 2 * least, INDEX_WORDS)
+    shards = max(2 * spark.sparkContext.defaultParallelism, -(-anchors.count() * least // (2 * INDEX_WORDS)))
     places = anchors.groupBy("doc", "same").agg(F.collect_list(F.struct("pos", "anchor")).alias("at"))
     cut = own.join(places, own.id == places.doc).select("id", "text", "same", "at").mapInArrow(_cut(least, shards), _ROWS)
     spans = cut.repartitionById(shards, F.col("part")).mapInArrow(_search(least), "doc_id long, start int, stop int, earlier boolean")
