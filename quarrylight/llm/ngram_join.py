@@ -35,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpoint, pack, partitions, text_bytes, unpack
+from .cluster import checkpoint, pack, text_bytes, unpack
 from .components import components, local_components
 from .textkernel import buffers, mix, ngrams, pieces, words
 
-#: Document frequencies up to which a token is of class 1 and 2.
-CLASSES = (64, 1024)
-#: N-grams a task gathers before it packs them; bytes of text for each reducer.
-FLUSH, BYTES_EACH = 1_500_000, 18_000_000
+#: Document frequencies up to which a token is of class 1 and 2: shares of all sets, and at least so many.
+CLASSES = ((0.01, 256), (0.05, 1024))
+#: Bits of a token's hash that tell it from the others of its range (some millions).
+TOKEN_BITS = 42
+#: N-grams a task gathers before it packs them; bytes of text whose n-grams a reducer handles at once, and how many such pieces it has.
+FLUSH, BYTES_EACH, PIECES = 1_500_000, 18_000_000, 4
 
-_LOW = np.uint64((1 << 40) - 1)
 _SMALL = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("body", pa.binary()), ("sets", pa.binary())])
 _ROWS = "part int, kind int, body binary, sets binary"
 _ITEM = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("body", pa.binary())])
@@ -75,8 +76,8 @@ def _tokens(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gd, g
 
 
-def _spread(n: int, parts: int):
-    """Kind 0: (token, set) by token range; kind 1: (set, id, size) by set."""
+def _spread(n: int, parts: int, subs: int):
+    """Kind 0: (token, set) by token range, in ``subs`` pieces that a reducer reads one by one; kind 1: (set, id, size) by set."""
 
     def flush(gd, g, ids, null) -> pa.RecordBatch:
         o = np.argsort(g)
@@ -96,15 +97,18 @@ def _spread(n: int, parts: int):
             np.add.at(total, gd, mix(g))
             sig = mix(total + size)
         rows = []
-        part = ((g >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-        b = _bounds(part)
-        for s, e in zip(b[:-1], b[1:]):
-            low, of = g[s:e] & _LOW, gd[s:e]
-            if e - s > 1 and (low[1:] < low[:-1]).any():
-                o = np.argsort(low)
-                low, of = low[o], of[o]
-            own, at = np.unique(of, return_inverse=True)
-            rows.append((int(part[s]), 0, pack(np.diff(low, prepend=np.uint64(0)), at.astype(np.uint16 if len(own) < 65536 else np.uint32)), sig[own].tobytes()))
+        edges = np.array([(k << 64) // (parts * subs) for k in range(parts * subs)], np.uint64)
+        b = np.append(np.searchsorted(g, edges), len(g))
+        for part in range(parts):
+            s, e = b[part * subs], b[(part + 1) * subs]
+            if e > s:
+                own, at = np.unique(gd[s:e], return_inverse=True)
+                at = at.astype(np.uint16 if len(own) < 65536 else np.uint32)
+                bodies = []
+                for k in range(part * subs, (part + 1) * subs):
+                    x = g[b[k] : b[k + 1]] >> np.uint64(max(0, 64 - TOKEN_BITS - (parts * subs).bit_length()))
+                    bodies.append(pack(np.diff(x, prepend=np.uint64(0)), at[b[k] - s : b[k + 1] - s]))
+                rows.append((part, 0, np.array([len(x) for x in bodies], np.int64).tobytes() + b"".join(bodies), sig[own].tobytes()))
         has = np.flatnonzero((size > 0) & ~null)
         home = (sig[has] % np.uint64(parts)).astype(np.int64)
         o = np.argsort(home)
@@ -134,23 +138,28 @@ def _spread(n: int, parts: int):
     return run
 
 
-def _count(parts: int):
+def _count(parts: int, subs: int):
     """Of each token range: the tokens of two or more sets, with frequency, sent to their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, sig, part = [], [], 0
+        held, part = [], 0
         for batch in batches:
             for p, kind, body, sets in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
                     yield _batch(_SMALL, [(p, 1, body, sets)])
-                    continue
-                part, own = p, np.frombuffer(sets, np.uint64)
-                delta, at = unpack(body, np.uint64, np.uint16 if len(own) < 65536 else np.uint32)
+                else:
+                    part = p
+                    size = np.frombuffer(body[: 8 * subs], np.int64)
+                    held.append((body, 8 * subs + np.cumsum(size) - size, size, np.frombuffer(sets, np.uint64)))
+        for k in range(subs if held else 0):
+            low, sig = [], []
+            for body, at, size, own in held:
+                delta, of = unpack(body[at[k] : at[k] + size[k]], np.uint64, np.uint16 if len(own) < 65536 else np.uint32)
                 low.append(np.cumsum(delta, dtype=np.uint64))
-                sig.append(own[at])
-        if not low:
-            return
-        low, sig = np.concatenate(low), np.concatenate(sig)
+                sig.append(own[of])
+            yield from repeated(part * subs + k, np.concatenate(low), np.concatenate(sig))
+
+    def repeated(fine: int, low: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         o = np.argsort(low, kind="stable")
         low, sig = low[o], sig[o]
         b = _bounds(low)
@@ -163,10 +172,10 @@ def _count(parts: int):
         low, sig = low[new], sig[new]
         b = _bounds(low)
         df = np.diff(b)
-        tok = np.uint64(part << 32) + np.repeat(np.arange(len(df), dtype=np.uint64), df)
+        tok = np.uint64(fine << 32) + np.repeat(np.arange(len(df), dtype=np.uint64), df)
         df = np.repeat(df, df)
         keep = df > 1
-        tok, sig, df = tok[keep], sig[keep], np.minimum(df[keep], 65535).astype(np.uint16)
+        tok, sig, df = tok[keep], sig[keep], df[keep].astype(np.uint32)
         home = (sig % np.uint64(parts)).astype(np.int64)
         o = np.lexsort((tok, sig, home))
         tok, sig, df, home = tok[o], sig[o], df[o], home[o]
@@ -185,7 +194,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind:
                 mine.append((np.frombuffer(sets, np.uint64), *unpack(body, np.int64, np.uint32)))
             else:
-                delta, t, df = unpack(body, np.uint64, np.uint64, np.uint16)
+                delta, t, df = unpack(body, np.uint64, np.uint64, np.uint32)
                 tok.append((np.cumsum(delta, dtype=np.uint64), t, df))
     if not mine:
         return
@@ -216,7 +225,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_ITEM, rows)
 
 
-def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float) -> np.ndarray:
+def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float, classes: tuple[int, int]) -> np.ndarray:
     """Those of a set, from its repeated tokens; the other size - len(tok) ones come first in the order."""
     o = np.lexsort((tok, df))
     tok, df = tok[o], df[o]
@@ -226,7 +235,7 @@ def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float) -> np.ndarr
     if need > 0 and size < least / t:
         out.append(mix(tok[:need]))
     if need > 0 and size >= least:
-        c = np.searchsorted(df, np.array(CLASSES), "right")
+        c = np.searchsorted(df, np.array(classes), "right")
         x = tok[: min(need, c[0])]
         out.append(mix(x ^ np.uint64(1 << 63)))
         need -= len(x)
@@ -243,7 +252,7 @@ def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sign(t: float, parts: int):
+def _sign(t: float, parts: int, classes: tuple[int, int]):
     def flush(keys, sig) -> pa.RecordBatch:
         part = (keys % np.uint64(parts)).astype(np.int64)
         o = np.lexsort((keys, part))
@@ -256,8 +265,8 @@ def _sign(t: float, parts: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 for a, size, body in zip(*(batch.column(c).to_pylist() for c in ("a", "size", "body"))):
-                    delta, df = unpack(body, np.uint64, np.uint16)
-                    keys = signatures(np.cumsum(delta, dtype=np.uint64), df, size, t)
+                    delta, df = unpack(body, np.uint64, np.uint32)
+                    keys = signatures(np.cumsum(delta, dtype=np.uint64), df, size, t, classes)
                     if len(keys):
                         held.append((keys, np.full(len(keys), a).view(np.uint64)))
                         count += len(keys)
@@ -300,21 +309,28 @@ _FOUND = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa
 
 
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
-    """Common tokens of each of the first ``left`` sets with each set."""
+    """Common tokens of each of the first ``left`` sets with each set, from bit vectors."""
     of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, tok, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     many = times[tok] > 1
-    place = np.cumsum(times > 1) - 1
-    of, tok = of[many], place[tok[many]]
-    out = np.zeros((left, len(sets)), np.float32)
-    o = np.argsort(tok)
+    of, tok = of[many], (np.cumsum(times > 1) - 1)[tok[many]]
+    out = np.zeros((left, len(sets)), np.int64)
+    if not len(tok):
+        return out
+    o = np.argsort(tok, kind="stable")
     of, tok = of[o], tok[o]
-    wide = 4096
-    for at in range(0, int(tok[-1]) + 1 if len(tok) else 0, wide):
+    wide = 16_384
+    for at in range(0, int(tok[-1]) + 1, wide):
         s, e = np.searchsorted(tok, [at, at + wide])
-        block = np.zeros((len(sets), min(wide, int(tok[-1]) + 1 - at)), np.float32)
-        block[of[s:e], tok[s:e] - at] = 1
-        out += block[:left] @ block.T
+        width = min(wide, int(tok[-1]) + 1 - at)
+        here = np.unique(of[s:e])
+        row = np.zeros(len(sets), np.int64)
+        row[here] = np.arange(len(here))
+        bits = np.zeros((len(here), -(-width // 64) * 64), bool)
+        bits[row[of[s:e]], tok[s:e] - at] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(int(np.searchsorted(here, left))):
+            out[here[i], here[i:]] += np.bitwise_count(packed[i] & packed[i:]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -328,7 +344,7 @@ def _compare(t: float):
         left = int((own == i).sum())
         ids, size = np.asarray(table.column("b"))[o], np.asarray(table.column("size"))[o].astype(np.float64)
         body = table.column("body").to_pylist()
-        both = overlaps([np.cumsum(unpack(body[k], np.uint64, np.uint16)[0], dtype=np.uint64) for k in o], left)
+        both = overlaps([np.cumsum(unpack(body[k], np.uint64, np.uint32)[0], dtype=np.uint64) for k in o], left)
         jaccard = both / (size[:left, None] + size[None, :] - both)
         ok = jaccard >= t - 1e-9
         if i == j:
@@ -361,13 +377,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(own, "text")
-    parts = partitions(spark, size, BYTES_EACH)
-    spread = own.mapInArrow(_spread(n, parts), _ROWS).repartitionById(parts, F.col("part"))
-    sets = spread.mapInArrow(_count(parts), _ROWS).repartitionById(parts, F.col("part"))
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // (PIECES * BYTES_EACH)))
+    subs = max(1, -(-size // (parts * BYTES_EACH)))
+    spread = own.mapInArrow(_spread(n, parts, subs), _ROWS).repartitionById(parts, F.col("part"))
+    sets = spread.mapInArrow(_count(parts, subs), _ROWS).repartitionById(parts, F.col("part"))
     items = checkpoint(sets.mapInArrow(_gather, "kind int, a long, b long, size int, body binary"))
     item = items.where("kind = 0").select("a", "b", "size", "body")
     some = max(2 * spark.sparkContext.defaultParallelism, -(-size // (4 * BYTES_EACH)))
-    links = item.mapInArrow(_sign(threshold, some), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
+    total = item.count()
+    classes = tuple(max(int(share * total), least) for share, least in CLASSES)
+    links = item.mapInArrow(_sign(threshold, some, classes), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
     groups = components(links)
     tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
