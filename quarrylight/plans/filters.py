@@ -64,7 +64,7 @@ def _leaf(op: str, field: str, value: Any, negated: bool, fields: dict[str, str]
 
 
 def compile_filter(tree: dict | None, fields: dict[str, str] = SEARCH_FIELDS, negated: bool = False) -> Column:
-    """A predicate that is never null.  An unknown field is missing everywhere; an unknown operator raises."""
+    """A predicate that is true where the filter holds, and false or null elsewhere.  An unknown field is missing everywhere; an unknown operator raises."""
     if tree is None:
         return F.lit(not negated)
     if not isinstance(tree, dict) or len(tree) != 1:

@@ -6,6 +6,7 @@ import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 FORMAT = 1
 
@@ -33,14 +34,15 @@ class ChunkStore:
         m = self.manifest()
         if not m["version"]:
             raise FileNotFoundError(f"{self.path} holds no chunks yet")
-        return self.spark.read.parquet(f"{self.path}/v{m['version']}")
+        # by its schema: a table without rows has no files to tell it
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(m["schema"]))).parquet(f"{self.path}/v{m['version']}")
 
     def write(self, chunks: DataFrame, **extra) -> int:
         """chunks may be made from the current version."""
         m = self.manifest()
         version = m["version"] + 1
         chunks.write.mode("overwrite").partitionBy("collection").parquet(f"{self.path}/v{version}")
-        self._point(m | extra | {"version": version, "written": int(time.time())})
+        self._point(m | extra | {"version": version, "schema": chunks.schema.json(), "written": int(time.time())})
         return version
 
     def note(self, **extra) -> None:
