@@ -308,8 +308,8 @@ def cluster_search(spark, sf_dir):
 
 
 _EMB = f"""WITH {CHUNKS}, t AS (SELECT citation_id, unnest({_tok('text')}) AS w FROM chunks WHERE searchable),
-m AS (SELECT citation_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 16 AS at, CASE WHEN ('0x' || substr(md5(w), 9, 8))::BIGINT % 2 = 0 THEN 1e0 ELSE -1e0 END AS by FROM t),
-s AS (SELECT citation_id, at, sum(by) AS x FROM m GROUP BY ALL), n AS (SELECT citation_id, sqrt(sum(x * x)) AS n FROM s GROUP BY citation_id)
+m AS (SELECT citation_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 16 AS at, CASE WHEN ('0x' || substr(md5(w), 9, 8))::BIGINT % 2 = 0 THEN 1e0 ELSE -1e0 END AS sgn FROM t),
+s AS (SELECT citation_id, at, sum(sgn) AS x FROM m GROUP BY ALL), n AS (SELECT citation_id, sqrt(sum(x * x)) AS n FROM s GROUP BY citation_id)
 SELECT c.citation_id, r.at::INT AS at, round(coalesce(CASE WHEN n > 0 THEN x / n ELSE 0 END, 0e0), 4) AS x
 FROM (SELECT citation_id FROM chunks WHERE searchable) c CROSS JOIN (SELECT unnest(range(0, 16)) AS at) r LEFT JOIN s ON s.citation_id = c.citation_id AND s.at = r.at LEFT JOIN n ON n.citation_id = c.citation_id"""
 
