@@ -157,8 +157,16 @@ def matches(node: Node) -> Column:
         return any_of([F.exists(c, lambda t: t.startswith(node.words[0])) for c in _columns(node.only)])
     if node.op == "not":
         return ~matches(node.parts[0])
-    parts = [matches(p) for p in node.parts]
-    return any_of(parts) if node.op == "or" else reduce(lambda a, b: a & b, parts)
+    if node.op == "or":
+        # all single words in one test of a field: a filter doesn't share its parts, and tokens are dear
+        words: dict[str, list[str]] = {}
+        for p in node.parts:
+            if p.op == "term":
+                for c in _columns(p.only):
+                    words.setdefault(c, []).append(p.words[0])
+        some = [F.arrays_overlap(c, F.array(*[F.lit(w) for w in ws])) for c, ws in words.items()]
+        return any_of(some + [matches(p) for p in node.parts if p.op != "term"])
+    return reduce(lambda a, b: a & b, [matches(p) for p in node.parts])
 
 
 def scored(node: Node) -> tuple[set[tuple[str, str]], list[Node]]:
@@ -230,12 +238,13 @@ class TextIndex:
         self.postings, self.stats = postings, stats
 
     @classmethod
-    def build(cls, chunks: DataFrame) -> TextIndex:
-        """postings(term, field, gid, tf, dl, positions); stats(field, n, mean)."""
+    def build(cls, chunks: DataFrame, only: list[str] | None = None) -> TextIndex:
+        """postings(term, field, gid, tf, dl, positions), of the words ``only`` if given; stats(field, n, mean)."""
         index = with_tokens(chunks.where("searchable"))
         by_field = index.select(*GID, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS])).alias("x")).select(*GID, "x.field", "x.tokens")
         postings = (
             by_field.select(*GID, "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+            .where(F.lit(True) if only is None else F.col("term").isin(only))
             .groupBy("term", "field", *GID)
             .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
         )

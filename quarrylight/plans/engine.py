@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import highlight, similar_query
 from ..model import GID, citation_id, complete, encode_cursor, split_citation
 from ..operators import ranking
-from ..operators.text import keyword_search, parse_query, scored
+from ..operators.text import TextIndex, keyword_search, parse_query, scored
 from ..operators.vectors import knn
 from .filters import compile_filter, targets_image, visible
 from .request import Caller, SearchRequest
@@ -57,7 +57,15 @@ class SearchEngine:
         return self._finish(self.chunks.join(F.broadcast(hits), list(GID)), r)
 
     def keyword_candidates(self, r: SearchRequest, where: Column) -> DataFrame:
-        hits = keyword_search(self.chunks, r.query, where, r.k1, r.b, r.text_boost, r.heading_boost)
+        node = parse_query(r.query)
+        words = [p.words[0] for p in node.parts if p.op == "term" and p.only is None]
+        if node.op == "or" and len(words) == len(node.parts) > 6:
+            # many words: their postings, rather than a long expression for each chunk
+            queries = self.chunks.sparkSession.createDataFrame([(0, " ".join(words))], "query_id long, query string")
+            scores = TextIndex.build(self.chunks, words).search(queries, r.k1, r.b, r.text_boost, r.heading_boost).drop("query_id")
+            hits = self.chunks.where("searchable").where(where).join(scores, list(GID))
+        else:
+            hits = keyword_search(self.chunks, node, where, r.k1, r.b, r.text_boost, r.heading_boost)
         return ranking.top(hits, "bm25", r.candidates)
 
     def _finish(self, hits: DataFrame, r: SearchRequest) -> DataFrame:

@@ -36,7 +36,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, capacity: float
             out.append(ok)
         return pd.DataFrame({"key": pdf["key"], "order": pdf["order"], "allowed": out})
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).cast("double").__truediv__(1e6).alias("now"), F.col(order).cast("long").alias("order"))
+    rows = events.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("now"), F.col(order).cast("long").alias("order"))
     return rows.groupBy("key").applyInPandas(run, "key string, order long, allowed boolean")
 
 
@@ -58,7 +58,7 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, capacity: float, ref
         state.update((tokens, last))
         state.setTimeoutDuration(int(1000 * capacity / refill) + 1000)
 
-    rows = events.select(F.col(key).cast("string").alias("key"), (F.unix_micros(ts) / 1e6).alias("now"))
+    rows = events.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("now"))
     return rows.groupBy("key").applyInPandasWithState(run, "key string, now double, allowed boolean", "tokens double, last double", "append", "ProcessingTimeTimeout")
 
 
