@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, precis
     share = F.when(F.col("bad"), min(1.0, train_rows / counts[True])).otherwise(min(1.0, train_rows / counts[False]))
     chosen = known.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share * 1_000_000)
     stats = statistics(F.col("t"))
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(chosen, "i").select("i", "bad", *[c.alias(s) for s, c in stats.items()]).toArrow().sort_by([("i", "ascending"), ("chars", "ascending")])
+    # about 2 x train_rows ids, so that no text is shuffled
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "i").select("i", "bad", *[c.alias(s) for s, c in stats.items()]).toArrow().sort_by([("i", "ascending"), ("chars", "ascending")])
     return learn({s: np.asarray(rows[s]) for s in stats}, np.asarray(rows["bad"]).astype(bool), precision)
 
 
