@@ -3,12 +3,13 @@
 A graph of k neighbours for each vector is refined by joining neighbours of
 neighbours: whatever two vectors are near a third are compared.  Random
 hyperplane buckets give the first graph.  A vector whose k neighbours all reach
-the threshold is saturated and gets a list twice as long, so no group of
-copies is cut off.  Rounds end when they find no more edges and the recall,
+the threshold is saturated and gets a list twice as long, up to WIDEST times
+the first length.  Rounds end when they find no more edges and the recall,
 audited on sampled vectors against a full scan, reaches its target.
 
-While the graph is refined vectors travel as 8-bit codes; the edges that may
-reach the threshold are measured on the vectors at the end.
+While the graph is refined vectors travel as 8-bit codes.  At the end all
+vectors that edges connect are compared with each other exactly, tile by tile:
+so no group of copies is cut off by the length of lists.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import checkpoint
+from .components import components
 
 #: What 8-bit codes may be off by.
 MARGIN = 0.03
-BUCKET = 64
+#: Vectors of one bucket at most (larger ones are parted); how far lists grow; vectors of a tile.
+BUCKET, WIDEST, TILE = 64, 4, 1500
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
 
 
@@ -52,28 +55,49 @@ def _encode(dim: int, planes: np.ndarray):
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs among each row's members that are better than what a member has."""
+
+    def distinct(held) -> pa.RecordBatch:
+        u, v, sim = map(np.concatenate, zip(*held))
+        o = np.lexsort((v, u))
+        u, v, sim = u[o], v[o], sim[o]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(sim[new], pa.float32())], schema=_EDGE)
+
+    held, count = [], 0
     for batch in batches:
-        us, vs, sims = [], [], []
         for members in batch.column("members"):
             m = members.values
             ids, low = np.asarray(m.field("m")), np.asarray(m.field("low"))
-            if len(ids) < 2:
-                continue
             x = _matrix(m.field("code"))
-            for s in range(0, len(ids), 512):
-                sim = x[s : s + 512] @ x.T
-                ok = (sim > low[s : s + 512, None]) & (ids[s : s + 512, None] != ids[None, :])
-                i, j = np.nonzero(ok)
-                us.append(ids[i + s])
-                vs.append(ids[j])
-                sims.append(sim[i, j])
-        if us:
-            u, v, sim = map(np.concatenate, (us, vs, sims))
-            o = np.lexsort((v, u))
-            u, v, sim = u[o], v[o], sim[o]
-            new = np.ones(len(u), bool)
-            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(sim[new], pa.float32())], schema=_EDGE)
+            sim = x @ x.T
+            i, j = np.nonzero((sim > low[:, None]) & (ids[:, None] != ids[None, :]))
+            held.append((ids[i], ids[j], sim[i, j]))
+            count += len(i)
+            if count > 400_000:
+                yield distinct(held)
+                held, count = [], 0
+    if held:
+        yield distinct(held)
+
+
+def _exact(threshold: float):
+    """Pairs of one tile of a group of vectors, or of two, that reach the threshold."""
+    schema = pa.schema([("vec_a", pa.int64()), ("vec_b", pa.int64()), ("cosine", pa.float64())])
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own = np.asarray(table.column("tile"))
+        ids = np.asarray(table.column("id"))
+        x = np.array(table.column("vec").to_pylist(), np.float64)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sim = x[left] @ x[right].T
+        a, b = ids[left], ids[right]
+        p, q = np.nonzero((sim >= threshold) & ((a[:, None] < b[None, :]) if i == j else (a[:, None] != b[None, :])))
+        return pa.Table.from_arrays([pa.array(np.minimum(a[p], b[q])), pa.array(np.maximum(a[p], b[q])), pa.array(sim[p, q])], schema=schema)
+
+    return run
 
 
 def _scan(ids: np.ndarray, x: np.ndarray, threshold: float):
@@ -137,7 +161,7 @@ def near_duplicate_edges(vectors: DataFrame, threshold: float = 0.9, k: int = 12
         stats = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least"), F.max("k").alias("k"))
         full = F.col("n") >= F.col("k")
         lists = checkpoint(
-            codes.select("u").join(stats, "u", "left").select("u", F.coalesce(F.when(full & (F.col("least") >= near), F.col("k") * 2).otherwise(F.col("k")), F.lit(k)).alias("k"), F.coalesce(F.when(full & (F.col("least") < near), F.col("least")), F.lit(-2.0)).cast("float").alias("low"))
+            codes.select("u").join(stats, "u", "left").select("u", F.coalesce(F.when(full & (F.col("least") >= near), F.least(F.col("k") * 2, F.lit(k * WIDEST))).otherwise(F.col("k")), F.lit(k)).alias("k"), F.coalesce(F.when(full & (F.col("least") < near), F.col("least")), F.lit(-2.0)).cast("float").alias("low"))
         )
         back = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
         reverse = graph.select("u", "v", "sim").join(lists.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").withColumn("r", F.row_number().over(back)).where("r <= kv")
@@ -150,11 +174,13 @@ def near_duplicate_edges(vectors: DataFrame, threshold: float = 0.9, k: int = 12
         known = now
     else:
         raise RuntimeError(f"audited recall {found / max(1, wanted):.3f} after {rounds} rounds; give larger k or more tables")
-    edges = graph.where(F.col("sim") >= near).select(F.least("u", "v").alias("vec_a"), F.greatest("u", "v").alias("vec_b")).distinct()
-    a, b = own.select(F.col("id").alias("vec_a"), F.col("vec").alias("va")), own.select(F.col("id").alias("vec_b"), F.col("vec").alias("vb"))
-
-    def dot(x: str, y: str):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-
-    cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    return edges.join(a, "vec_a").join(b, "vec_b").select("vec_a", "vec_b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    groups = components(graph.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    return (
+        own.join(placed, own.id == placed.node)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "vec")
+        .groupBy("component", "i", "j")
+        .applyInArrow(_exact(threshold), "vec_a long, vec_b long, cosine double")
+    )
