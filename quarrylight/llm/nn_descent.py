@@ -4,12 +4,17 @@ A graph of k neighbours for each vector is refined by joining neighbours of
 neighbours: whatever two vectors are near a third are compared.  Random
 hyperplane buckets give the first graph.  A vector whose k neighbours all reach
 the threshold is saturated and gets a list twice as long, up to WIDEST times
-the first length.  Rounds end when they find no more edges and the recall,
-audited on sampled vectors against a full scan, reaches its target.
+the first length.  Rounds end when they find no more edges.
+
+Lists of a large group of copies are full of the group's own kind.  So all
+vectors that stay saturated search again among themselves for neighbours in
+other groups only (groups are the components of the edges so far), level by
+level until none is saturated: each level at least halves the groups in play.
 
 While the graph is refined vectors travel as 8-bit codes.  At the end all
 vectors that edges connect are compared with each other exactly, tile by tile:
-so no group of copies is cut off by the length of lists.
+so no group of copies is cut off by the length of lists.  The recall of these
+pairs is audited on sampled vectors against a full scan.
 """
 
 from __future__ import annotations
@@ -37,6 +42,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _bits(n: int) -> int:
+    """Hyperplanes of a table that leave about 8 of n vectors to a bucket."""
+    return max(1, min(30, int(np.ceil(np.log2(max(2, n / 8))))))
+
+
 def _encode(dim: int, planes: np.ndarray):
     schema = pa.schema([("u", pa.int64()), ("code", pa.binary()), ("bucket", pa.list_(pa.int64()))])
 
@@ -54,7 +64,7 @@ def _encode(dim: int, planes: np.ndarray):
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs among each row's members that are better than what a member has."""
+    """Pairs among each row's members, of different groups, that are better than what a member has."""
 
     def distinct(held) -> pa.RecordBatch:
         u, v, sim = map(np.concatenate, zip(*held))
@@ -68,10 +78,10 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for members in batch.column("members"):
             m = members.values
-            ids, low = np.asarray(m.field("m")), np.asarray(m.field("low"))
+            ids, group, low = (np.asarray(m.field(c)) for c in ("m", "g", "low"))
             x = _matrix(m.field("code"))
             sim = x @ x.T
-            i, j = np.nonzero((sim > low[:, None]) & (ids[:, None] != ids[None, :]))
+            i, j = np.nonzero((sim > low[:, None]) & (group[:, None] != group[None, :]))
             held.append((ids[i], ids[j], sim[i, j]))
             count += len(i)
             if count > 400_000:
@@ -89,8 +99,7 @@ def _exact(threshold: float):
         i, j = key[1].as_py(), key[2].as_py()
         own = np.asarray(table.column("tile"))
         ids = np.asarray(table.column("id"))
-        x = np.array(table.column("vec").to_pylist(), np.float64)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = _unit(table.column("vec"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         sim = x[left] @ x[right].T
         a, b = ids[left], ids[right]
@@ -100,13 +109,18 @@ def _exact(threshold: float):
     return run
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    x = np.array(column.to_pylist(), np.float64)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _scan(ids: np.ndarray, x: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = np.asarray(b.column("u"))
-                i, j = np.nonzero((_matrix(b.column("code")) @ x.T >= threshold) & (v[:, None] != ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(v[i]), pa.array(np.ones(len(i)), pa.float32())], schema=_EDGE)
+                v = np.asarray(b.column("id"))
+                i, j = np.nonzero((_unit(b.column("vec")) @ x.T >= threshold) & (v[:, None] != ids[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(v[i])], names=["u", "v"])
 
     return run
 
@@ -115,8 +129,9 @@ def near_duplicate_edges(vectors: DataFrame, threshold: float = 0.9, k: int = 12
     """Pairs (vec_a < vec_b, cosine) that reach the threshold.
 
     Approximate; every vector is a query.  ``audit`` vectors, chosen by hash,
-    are compared with all: their recall must reach ``recall`` before the search
-    may end (``rounds`` is for data on which it never would: then it raises).
+    are compared with all: the share of their pairs that the result has must
+    reach ``recall`` before the search may end (``rounds`` is for data on which
+    it never would: then it raises).
 
     ids are integers.  Null ids, null vectors, vectors with null, non-finite or
     no components, and zero vectors have no pair; of several rows of one id
@@ -132,49 +147,88 @@ def near_duplicate_edges(vectors: DataFrame, threshold: float = 0.9, k: int = 12
         return spark.createDataFrame([], "vec_a long, vec_b long, cosine double")
     if dim != least:
         raise ValueError("vectors differ in length")
-    bits = max(1, min(30, int(np.ceil(np.log2(max(2, n / 8))))))
+    bits = _bits(n)
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).astype(np.float32)
-    codes = checkpoint(own.mapInArrow(_encode(dim, planes), "u long, code binary, bucket array<bigint>"))
+    codes = checkpoint(own.mapInArrow(_encode(dim, planes), "u long, code binary, bucket array<bigint>")).withColumn("g", F.col("u"))
     near = threshold - MARGIN
 
-    sample = codes.orderBy(F.xxhash64("u", F.lit(seed)), "u").limit(audit).select("u", "code").toArrow()
-    truth = checkpoint(codes.select("u", "code").mapInArrow(_scan(np.asarray(sample["u"]), _matrix(sample["code"].combine_chunks()), threshold), "u long, v long, sim float"))
+    sample = own.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(audit).toArrow()
+    truth = checkpoint(own.mapInArrow(_scan(np.asarray(sample["id"]), _unit(sample["vec"]), threshold), "u long, v long"))
     wanted = truth.count()
 
-    def pairs(members: DataFrame, low: DataFrame) -> DataFrame:
+    def pairs(codes: DataFrame, members: DataFrame, low: DataFrame) -> DataFrame:
         """members: (pivot, m); low: (u, low): what a pair must beat for u."""
-        with_code = members.join(codes.select(F.col("u").alias("m"), "code").join(low.select(F.col("u").alias("m"), "low"), "m"), "m")
-        return with_code.groupBy("pivot").agg(F.collect_list(F.struct("m", "code", "low")).alias("members")).where(F.size("members") > 1).select("members").mapInArrow(_join, "u long, v long, sim float")
+        with_code = members.join(codes.select(F.col("u").alias("m"), "g", "code").join(low.select(F.col("u").alias("m"), "low"), "m"), "m")
+        return with_code.groupBy("pivot").agg(F.collect_list(F.struct("m", "g", "code", "low")).alias("members")).where(F.size("members") > 1).select("members").mapInArrow(_join, "u long, v long, sim float")
 
     def best(edges: DataFrame, lists: DataFrame) -> DataFrame:
         w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
         return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).join(lists.select("u", "k"), "u").withColumn("rank", F.row_number().over(w)).where("rank <= k").drop("rank")
 
-    lists = codes.select("u", F.lit(k).alias("k"), F.lit(-2.0).cast("float").alias("low"))
-    # buckets of more than BUCKET are parted by hash: neighbours' joins bring the parts together
-    bucket = codes.select(F.explode("bucket").alias("b"), F.col("u").alias("m"))
-    size = bucket.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
-    first = bucket.join(size, "b").select(F.struct("b", F.pmod(F.xxhash64("m", "b"), F.col("parts")).alias("p")).alias("pivot"), "m")
-    graph = checkpoint(best(pairs(first, lists), lists))
-    known = graph.where(F.col("sim") >= near).count()
-    for _ in range(rounds):
-        stats = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least"), F.max("k").alias("k"))
-        full = F.col("n") >= F.col("k")
+    def start(codes: DataFrame, n: int) -> DataFrame:
+        """The first graph: pairs of a bucket, of as many bits as n vectors need."""
+        lists = codes.select("u", F.lit(k).alias("k"), F.lit(-2.0).cast("float").alias("low"))
+        # buckets of more than BUCKET are parted by hash: neighbours' joins bring the parts together
+        bucket = codes.select(F.explode("bucket").alias("b"), F.col("u").alias("m")).withColumn("b", F.col("b").bitwiseAND(F.lit((1 << 62) - 1 - (1 << bits) + (1 << _bits(n)))))
+        size = bucket.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
+        first = bucket.join(size, "b").select(F.struct("b", F.pmod(F.xxhash64("m", "b"), F.col("parts")).alias("p")).alias("pivot"), "m")
+        return checkpoint(best(pairs(codes, first, lists), lists))
+
+    def state(graph: DataFrame) -> DataFrame:
+        return graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least"), F.max("k").alias("k"))
+
+    full = F.col("n") >= F.col("k")
+    saturated = full & (F.col("least") >= near)
+
+    def refine(codes: DataFrame, graph: DataFrame, kin: DataFrame | None) -> DataFrame:
+        """A round.  kin: edges (u, v) inside groups, which lists don't hold."""
+        widest = F.lit(k * WIDEST)
         lists = checkpoint(
-            codes.select("u").join(stats, "u", "left").select("u", F.coalesce(F.when(full & (F.col("least") >= near), F.least(F.col("k") * 2, F.lit(k * WIDEST))).otherwise(F.col("k")), F.lit(k)).alias("k"), F.coalesce(F.when(full & (F.col("least") < near), F.col("least")), F.lit(-2.0)).cast("float").alias("low"))
+            codes.select("u").join(state(graph), "u", "left").select("u", F.coalesce(F.when(saturated, F.least(F.col("k") * 2, widest)).otherwise(F.col("k")), F.lit(k)).alias("k"), F.coalesce(F.when(full & ((F.col("least") < near) | (F.col("k") >= widest)), F.col("least")), F.lit(-2.0)).cast("float").alias("low"))
         )
         back = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
         reverse = graph.select("u", "v", "sim").join(lists.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").withColumn("r", F.row_number().over(back)).where("r <= kv")
-        members = graph.select(F.col("u").alias("pivot"), F.col("v").alias("m")).unionByName(reverse.select(F.col("v").alias("pivot"), F.col("u").alias("m"))).unionByName(codes.select(F.col("u").alias("pivot"), F.col("u").alias("m"))).distinct()
-        graph = checkpoint(best(graph.select("u", "v", "sim").unionByName(pairs(members, lists)), lists))
-        now = graph.where(F.col("sim") >= near).count()
-        found = truth.join(graph, ["u", "v"], "left_semi").count() if wanted else 0
-        if now - known <= 0.001 * known and found >= recall * wanted:
+        members = graph.select(F.col("u").alias("pivot"), F.col("v").alias("m")).unionByName(reverse.select(F.col("v").alias("pivot"), F.col("u").alias("m"))).unionByName(codes.select(F.col("u").alias("pivot"), F.col("u").alias("m")))
+        if kin is not None:
+            members = members.unionByName(kin.select(F.col("u").alias("pivot"), F.col("v").alias("m")))
+        return checkpoint(best(graph.select("u", "v", "sim").unionByName(pairs(codes, members.distinct(), lists)), lists))
+
+    def settle(codes: DataFrame, graph: DataFrame, kin: DataFrame | None, left: int) -> tuple[DataFrame, int]:
+        """Rounds until they find no more edges, and how many of ``left`` remain."""
+        known = graph.where(F.col("sim") >= near).count()
+        while left > 0:
+            graph, left = refine(codes, graph, kin), left - 1
+            now = graph.where(F.col("sim") >= near).count()
+            if now - known <= 0.001 * known:
+                return graph, left
+            known = now
+        raise RuntimeError(f"edges are still found after {rounds} rounds; give larger k or more tables")
+
+    def edges(graph: DataFrame) -> DataFrame:
+        return graph.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+    graph, left = start(codes, n), rounds
+    while True:
+        graph, left = settle(codes, graph, None, left)
+        groups = components(edges(graph))
+        level, kin = graph, None
+        while True:
+            active = checkpoint(state(level).where(saturated).select("u").join(groups.select(F.col("node").alias("u"), F.col("component").alias("g")), "u"))
+            held, apart = active.agg(F.count(F.lit(1)), F.count_distinct("g")).first()
+            if apart < 2:
+                break
+            again = checkpoint(codes.drop("g").join(active, "u"))
+            inside = level.where(F.col("sim") >= near).select("u", "v")
+            inside = inside if kin is None else inside.unionByName(kin)
+            kin = checkpoint(inside.join(active.select("u"), "u", "left_semi").join(active.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v"))
+            level, _ = settle(again, start(again, held), kin, rounds)
+            groups = components(edges(level).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        one, other = (groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "uv")
+        found = truth.join(one, "u").join(other, "v").where("of_u = of_v").count() if wanted else 0
+        if found >= recall * wanted:
             break
-        known = now
-    else:
-        raise RuntimeError(f"audited recall {found / max(1, wanted):.3f} after {rounds} rounds; give larger k or more tables")
-    groups = components(graph.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")))
+        if not left:
+            raise RuntimeError(f"audited recall {found / max(1, wanted):.3f} after {rounds} rounds; give larger k or more tables")
     tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     return (

@@ -226,6 +226,25 @@ def test_nn_descent(spark):
     assert near_duplicate_edges(df.limit(0)).count() == 0
 
 
+def test_nn_descent_large_groups(spark):
+    r = np.random.default_rng(6)
+
+    def around(centre, n):  # cosine of about 0.99 to each other
+        return centre + 0.1 * np.linalg.norm(centre) / np.sqrt(len(centre)) * r.standard_normal((n, len(centre)))
+
+    a, b, c = (v / np.linalg.norm(v) for v in r.standard_normal((3, 32)))
+    b -= (a @ b) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+    x = np.concatenate([around(a, 120), around(b, 120), around(c, 300), r.standard_normal((300, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    across = sim[:120, 120:240]
+    assert 0.9 < np.median(across) and np.max(across) < np.min(sim[:120, :120]) and np.min(sim[:120, :120]) > 0.97
+    got = {(e.vec_a, e.vec_b) for e in near_duplicate_edges(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), audit=50).collect()}
+    low, high = ({(i, j) for i, j in zip(*np.nonzero(np.triu(sim >= t, 1)))} for t in (0.9 - 1e-5, 0.9 + 1e-5))
+    assert high <= got <= low
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob b", None), (1, 3, "ann", "yo"), (None, 1, "a", "b"), (2, None, "system", "s")]
     out = {x.speaker: x for x in rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
