@@ -173,22 +173,30 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """Dictionaries of all texts; the threshold from halves that score each other."""
-    scores, labels = [], []
+    """Dictionaries of all texts; the threshold from halves that score each other.
+
+    The dictionaries of all texts give some ordinary words greater gains than
+    those of the halves do.  So ordinary texts are scored with them too, and
+    false alarms count by whichever has more.
+    """
+
+    def scores(model: Scorer, side: list[bytes]) -> np.ndarray:
+        return model.rows(pa.array([t.decode("utf-8", "replace") for t in side], pa.string()))[0]
+
+    caught, alarms = [], []
     for k in (0, 1):
         model = Scorer(*train_dictionaries(toxic[k::2], ordinary[k::2]))
-        for label, side in ((1, toxic[1 - k :: 2]), (0, ordinary[1 - k :: 2])):
-            if side:
-                scores.append(model.rows(pa.array([t.decode("utf-8", "replace") for t in side]))[0])
-                labels.append(np.full(len(side), label))
+        caught.append(scores(model, toxic[1 - k :: 2]))
+        alarms.append(scores(model, ordinary[1 - k :: 2]))
+    whole = train_dictionaries(toxic, ordinary)
     threshold = 1 << 30
     if toxic and ordinary:
-        x, y = np.concatenate(scores), np.concatenate(labels)
-        f = [2 * (y[x >= t].sum()) / max(1, (x >= t).sum() + y.sum()) for t in range(1, 65)]
+        x, y, own = np.concatenate(caught), np.concatenate(alarms), scores(Scorer(*whole), ordinary)
+        f = [2 * (x >= t).sum() / max(1, (x >= t).sum() + max((y >= t).sum(), (own >= t).sum()) + len(x)) for t in range(1, 65)]
         best = [t for t, v in enumerate(f, 1) if v >= max(f) - 1e-9]
         if max(f) > 0:
             threshold = best[len(best) // 2]
-    return Model(*train_dictionaries(toxic, ordinary), threshold)
+    return Model(*whole, threshold)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:

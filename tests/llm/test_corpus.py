@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import language_id, quality_rules
+from quarrylight.llm import language_id, quality_rules, toxicity
 from quarrylight.llm.chat import rotate_perspectives
 from quarrylight.llm.components import components
 from quarrylight.llm.fm_index import FMIndex
@@ -173,6 +173,21 @@ def test_toxicity(spark):
     assert train([], [b"a"]).threshold > 1000
 
 
+def test_toxicity_threshold_fits_the_model_in_use(monkeypatch):
+    class Scorer:
+        """Ordinary texts gain 4 with dictionaries of half the texts and 9 with those of all; toxic ones 10."""
+
+        def __init__(self, toxic, ordinary):
+            self.ordinary = 9 if len(toxic) == 8 else 4
+
+        def rows(self, texts):
+            return np.array([10 if t == "t" else self.ordinary for t in texts.to_pylist()], np.int64), None
+
+    monkeypatch.setattr(toxicity, "Scorer", Scorer)
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda toxic, ordinary: (b"".join(toxic), b"".join(ordinary)))
+    assert toxicity.train([b"t"] * 8, [b"o"] * 8).threshold == 10
+
+
 def test_language(spark):
     r = random.Random(2)
     a, b = (["".join(r.choices(s, k=r.randint(3, 7))) for _ in range(200)] for s in ("abcde", "uvxyz"))
