@@ -162,6 +162,14 @@ def bm25_batch(spark, sf_dir):
     return ranking.top(hits, "key", 5, ["query_id"]).select("query_id", citation_id().alias("citation_id"), F.round("bm25", 6).alias("bm25"))
 
 
+@query(SQL["bm25_batch"].replace("[:6]", ""))
+def bm25_batch_whole(spark, sf_dir):
+    """As bm25_batch, with all words of the benchmark texts instead of the first six."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokens(F.col("text")), " ").alias("query"))
+    hits = TextIndex.build(chunk_view(spark, sf_dir)).search(queries).withColumn("key", F.round("bm25", 9))
+    return ranking.top(hits, "key", 5, ["query_id"]).select("query_id", citation_id().alias("citation_id"), F.round("bm25", 6).alias("bm25"))
+
+
 _PREFIX = "len(list_filter({f}, lambda t: starts_with(t, 'wor'))) > 0"
 _PRE = "(" + _PREFIX.format(f="tt") + " OR " + _PREFIX.format(f="ht") + ")"
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylight import queries
 from quarrylight.functions import vector as V
 from quarrylight.model import check_metadata, complete, decode_cursor, encode_cursor, split_citation
 from quarrylight.operators import ranking
@@ -98,6 +99,14 @@ def test_keyword_queries(chunks, query, want):
     assert ids(keyword_search(chunks, query)) == want
 
 
+def test_batch_searches_all_words(spark, tmp_path):
+    docs = [(1, "one two three", "en", "s", 13), (2, "only nine is here", "en", "s", 17), (3, "something else", "en", "s", 14)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "one two three four five six seven eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lambda name: {r["citation_id"].rsplit(":", 1)[1] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found("bm25_batch") == {"1"} and found("bm25_batch_whole") == {"1", "2"}
+
+
 def test_query_errors():
     for bad in ("(a", "a)", "a AND", '+"'):
         with pytest.raises(QueryError):
