@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import language_id, quality_rules, toxicity
+from quarrylight.llm import language_id, quality_rules, textkernel, toxicity
 from quarrylight.llm.chat import rotate_perspectives
 from quarrylight.llm.components import components
 from quarrylight.llm.fm_index import FMIndex
@@ -18,6 +19,7 @@ from quarrylight.llm.ngram_join import ngram_jaccard_join, signatures
 from quarrylight.llm.nn_descent import near_duplicate_edges
 from quarrylight.llm.packing import best_cuts, pack_documents
 from quarrylight.llm.substring_dedup import remove_repeats, repeated_spans
+from quarrylight.llm.textkernel import buffers
 from quarrylight.llm.toxicity import fit, score_toxicity, train
 from quarrylight.llm.warc import LoserTree, capture_index
 
@@ -173,19 +175,62 @@ def test_toxicity(spark):
     assert train([], [b"a"]).threshold > 1000
 
 
-def test_toxicity_threshold_fits_the_model_in_use(monkeypatch):
-    class Scorer:
-        """Ordinary texts gain 4 with dictionaries of half the texts and 9 with those of all; toxic ones 10."""
-
-        def __init__(self, toxic, ordinary):
-            self.ordinary = 9 if len(toxic) == 8 else 4
-
-        def rows(self, texts):
-            return np.array([10 if t == "t" else self.ordinary for t in texts.to_pylist()], np.int64), None
-
-    monkeypatch.setattr(toxicity, "Scorer", Scorer)
-    monkeypatch.setattr(toxicity, "train_dictionaries", lambda toxic, ordinary: (b"".join(toxic), b"".join(ordinary)))
-    assert toxicity.train([b"t"] * 8, [b"o"] * 8).threshold == 10
+def test_toxicity_threshold():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        toxic, ordinary = r.integers(0, 30, int(r.integers(1, 40))), r.integers(0, 20, int(r.integers(1, 400)))
+        got, share = toxicity.threshold(toxic, ordinary, 0.1, 0.02), 0.1
+        worth = {}
+        for t in range(1, 40):
+            caught, alarms = (toxic >= t).mean(), (ordinary >= t).mean()
+            if alarms <= 0.02 and caught:
+                precision = share * caught / (share * caught + (1 - share) * alarms)
+                worth[t] = 2 * precision * caught / (precision + caught)
+        if worth:
+            assert got in worth and worth[got] > max(worth.values()) - 1e-9 and (ordinary >= got).mean() <= 0.02
+        else:
+            assert got > 1000
+
+
+def test_toxicity_windows(monkeypatch):
+    """The best window of each text, against all windows one by one."""
+    gain = lambda h: (h % np.uint64(7)).astype(np.int64) * (h % np.uint64(5) == 0)
+    monkeypatch.setattr(toxicity.Scorer, "gains", lambda self, buf, s, e, h: gain(h))
+    texts = [t for _, t, *_ in corpus()] + ["one two " * 300, "x" * 5000]
+    score, word = toxicity.Scorer(b"", b"").rows(pa.array(texts, pa.string()))
+    for t, got, best in zip(texts, score, word):
+        buf, offs = buffers(pa.array([t], pa.string()))
+        g = gain(textkernel.words(buf, offs)[3]).tolist()
+        assert got == max((sum(g[max(0, k - toxicity.WINDOW + 1) : k + 1]) for k in range(len(g))), default=0)
+        assert (best is None) == (max(g, default=0) == 0) and (best is None or best.lower() == words(t)[g.index(max(g))])
+
+
+@pytest.mark.parametrize("sf, caught, alarms", [("sf0.01", 0.5, 0.03), ("check_s", 0.95, 0.02)])
+def test_toxicity_on_held_out_labels(spark, sf, caught, alarms):
+    """What the flag catches, and which ordinary documents it flags, among labels that training didn't see."""
+    folder = f"/root/testdata/{sf}"
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = fit(docs, labels.where("doc_id % 3 > 0"), 400, 800)
+    held = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").withColumnRenamed("toxic", "is_toxic")
+    rows = score_toxicity(held, model).groupBy("is_toxic").agg(F.avg(F.col("toxic").cast("double")).alias("share")).collect()
+    share = {r.is_toxic: r.share for r in rows}
+    assert share[1] >= caught and share[0] <= alarms
+
+
+def test_toxicity_edges(spark):
+    """Clashing names are replaced, rows of one id score alike, long texts are read to their end; without labels nothing is toxic."""
+    model = toxicity.Model(*toxicity.train_dictionaries([b"grumbleword here " * 3] * 30, [b"other talk goes on %d" % k for k in range(60)]), 5)
+    rows = [(1, "a grumbleword", "x", 7), (1, "a grumbleword", "x", 7), (2, "calm talk " * 200_000 + "grumbleword", None, None), (3, None, "x", 1), (None, "", "x", 1)]
+    out = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string, Toxic_Score string, toxic int"), model)
+    assert out.columns == ["doc_id", "text", "toxic_score", "toxic_word", "toxic"]
+    got = out.collect()
+    assert [x.toxic for x in got] == [True, True, True, False, False] and got[0] == got[1] and got[2].toxic_word == "grumbleword"
+    assert score_toxicity(out.limit(0), model).count() == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string, toxic int")
+    none = fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert score_toxicity(docs, none).where("toxic").count() == 0 and fit(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).threshold > 1000
 
 
 def test_language(spark):
