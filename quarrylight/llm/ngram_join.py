@@ -19,10 +19,11 @@ frequencies; tokens of one set only match nothing and end here -> back to
 their sets (shuffle 2, what is repeated only) -> signatures (shuffle 3) ->
 groups of sets connected by signatures, which hold every candidate pair ->
 each group's pairs verified at once, as a matrix product over its repeated
-tokens, which hold every intersection.  Rows travel packed, because a Spark row for each of the
-corpus's n-grams would be several times the corpus.  Documents with equal sets
-are one item throughout; each of them is linked to the one with the least id,
-so thousands of copies give as many rows, not their square.
+tokens, which hold every intersection.  A task returns the links of each of its
+sets as a number and the sets they connect as a forest, never pairs.  Rows
+travel packed, because a Spark row for each of the corpus's n-grams would be
+several times the corpus.  Documents with equal sets are one set with a number
+of documents throughout, and the ids of a set are never gathered in one place.
 """
 
 from __future__ import annotations
@@ -45,10 +46,13 @@ CLASSES = ((0.01, 256), (0.05, 1024))
 TOKEN_BITS = 42
 #: N-grams a task gathers before it packs them; bytes of text whose n-grams a reducer handles at once, and how many such pieces it has.
 FLUSH, BYTES_EACH, PIECES = 1_500_000, 18_000_000, 4
+#: Turns a document without words into a set of its own.
+_ALONE = np.uint64(0xA54FF53A5F1D36F1)
 
 _SMALL = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("body", pa.binary()), ("sets", pa.binary())])
 _ROWS = "part int, kind int, body binary, sets binary"
-_ITEM = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("body", pa.binary())])
+_ITEM = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("size", pa.int32()), ("body", pa.binary())])
+_MEMBER = pa.schema([("set", pa.int64()), ("id", pa.int64())])
 
 
 def _bounds(keys: np.ndarray) -> np.ndarray:
@@ -77,7 +81,7 @@ def _tokens(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spread(n: int, parts: int, subs: int):
-    """Kind 0: (token, set) by token range, in ``subs`` pieces that a reducer reads one by one; kind 1: (set, id, size) by set."""
+    """Kind 0: (token, set) by token range, in ``subs`` pieces that a reducer reads one by one; kind 1: sizes by set; kind 2: (set, id), anywhere."""
 
     def flush(gd, g, ids, null) -> pa.RecordBatch:
         o = np.argsort(g)
@@ -109,12 +113,16 @@ def _spread(n: int, parts: int, subs: int):
                     x = g[b[k] : b[k + 1]] >> np.uint64(max(0, 64 - TOKEN_BITS - (parts * subs).bit_length()))
                     bodies.append(pack(np.diff(x, prepend=np.uint64(0)), at[b[k] - s : b[k + 1] - s]))
                 rows.append((part, 0, np.array([len(x) for x in bodies], np.int64).tobytes() + b"".join(bodies), sig[own].tobytes()))
-        has = np.flatnonzero((size > 0) & ~null)
-        home = (sig[has] % np.uint64(parts)).astype(np.int64)
+        own, at = np.unique(sig[size > 0], return_index=True)
+        of = size[size > 0][at]
+        home = (own % np.uint64(parts)).astype(np.int64)
         o = np.argsort(home)
-        has, home = has[o], home[o]
+        own, of, home = own[o], of[o], home[o]
         b = _bounds(home)
-        rows += [(int(home[s]), 1, pack(ids[has[s:e]], size[has[s:e]]), sig[has[s:e]].tobytes()) for s, e in zip(b[:-1], b[1:])]
+        rows += [(int(home[s]), 1, pack(own[s:e], of[s:e]), None) for s, e in zip(b[:-1], b[1:])]
+        here = np.where(size > 0, sig, mix(ids.view(np.uint64) ^ _ALONE))[~null]
+        if len(here):
+            rows.append((int(here[0] % np.uint64(parts)), 2, pack(here, ids[~null]), None))
         return _batch(_SMALL, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +154,7 @@ def _count(parts: int, subs: int):
         for batch in batches:
             for p, kind, body, sets in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
-                    yield _batch(_SMALL, [(p, 1, body, sets)])
+                    yield _batch(_SMALL, [(p, kind, body, sets)])
                 else:
                     part = p
                     size = np.frombuffer(body[: 8 * subs], np.int64)
@@ -187,37 +195,29 @@ def _count(parts: int, subs: int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a set (a) with its least id (b), size and repeated tokens; kind 1: another document b with the set of a."""
+    """Kind 0: a set (a) with its size and repeated tokens; kind 2: packed sets and ids, as they came."""
     tok, mine = [], []
     for batch in batches:
-        for kind, body, sets in zip(*(batch.column(c).to_pylist() for c in ("kind", "body", "sets"))):
-            if kind:
-                mine.append((np.frombuffer(sets, np.uint64), *unpack(body, np.int64, np.uint32)))
+        for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist()):
+            if kind == 2:
+                yield _batch(_ITEM, [(2, 0, 0, body)])
+            elif kind == 1:
+                mine.append(unpack(body, np.uint64, np.uint32))
             else:
                 delta, t, df = unpack(body, np.uint64, np.uint64, np.uint32)
                 tok.append((np.cumsum(delta, dtype=np.uint64), t, df))
-    if not mine:
-        return
-    sig, ids, size = map(np.concatenate, zip(*mine))
-    o = np.lexsort((ids, sig))
-    sig, ids, size = sig[o], ids[o], size[o]
-    b = _bounds(sig)
-    rep = np.repeat(ids[b[:-1]], np.diff(b))
-    again = np.ones(len(ids), bool)
-    again[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-    others = np.flatnonzero((ids != rep) & again)
-    for s in range(0, len(others), 10000):
-        yield _batch(_ITEM, [(1, int(rep[i]), int(ids[i]), int(size[i]), None) for i in others[s : s + 10000]])
-    if not tok:
+    if not mine or not tok:
         return
+    sig, size = map(np.concatenate, zip(*mine))
+    sig, first = np.unique(sig, return_index=True)
+    size = size[first]
     ts, t, df = map(np.concatenate, zip(*tok))
     o = np.lexsort((t, ts))
     ts, t, df = ts[o], t[o], df[o]
-    at, rows = b[:-1], []
-    lo, hi = np.searchsorted(ts, sig[at]), np.searchsorted(ts, sig[at], "right")
-    for i, s, e in zip(at, lo, hi):
+    rows = []
+    for x, n, s, e in zip(sig, size, np.searchsorted(ts, sig), np.searchsorted(ts, sig, "right")):
         if e > s:
-            rows.append((0, int(sig[i].view(np.int64)), int(ids[i]), int(size[i]), pack(np.diff(t[s:e], prepend=np.uint64(0)), df[s:e])))
+            rows.append((0, int(x.view(np.int64)), int(n), pack(np.diff(t[s:e], prepend=np.uint64(0)), df[s:e])))
             if len(rows) == 2000:
                 yield _batch(_ITEM, rows)
                 rows = []
@@ -225,6 +225,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_ITEM, rows)
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for body in batch.column("body").to_pylist():
+            own, ids = unpack(body, np.uint64, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids)], schema=_MEMBER)
+
+
 def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float, classes: tuple[int, int]) -> np.ndarray:
     """Those of a set, from its repeated tokens; the other size - len(tok) ones come first in the order."""
     o = np.lexsort((tok, df))
@@ -305,7 +312,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Sets of one tile: larger groups of candidates are compared tile by tile, on as many tasks.
 TILE = 1500
-_FOUND = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -335,42 +342,47 @@ def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
 
 
 def _compare(t: float):
-    """Pairs of one tile of a group, or of two, that reach the threshold."""
+    """Of the pairs of one tile of a group, or of two, that reach the threshold: kind 0, how many documents a set is linked to by them; kind 1, a forest of them."""
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         own = np.asarray(table.column("tile"))
         o = np.argsort(own != i, kind="stable")
         left = int((own == i).sum())
-        ids, size = np.asarray(table.column("b"))[o], np.asarray(table.column("size"))[o].astype(np.float64)
+        ids, docs, size = (np.asarray(table.column(c))[o] for c in ("a", "docs", "size"))
+        size = size.astype(np.float64)
         body = table.column("body").to_pylist()
         both = overlaps([np.cumsum(unpack(body[k], np.uint64, np.uint32)[0], dtype=np.uint64) for k in o], left)
-        jaccard = both / (size[:left, None] + size[None, :] - both)
-        ok = jaccard >= t - 1e-9
+        ok = both / (size[:left, None] + size[None, :] - both) >= t - 1e-9
         if i == j:
             ok &= np.arange(left)[:, None] < np.arange(len(ids))[None, :]
         else:
             ok[:, :left] = False
         x, y = np.nonzero(ok)
-        value = jaccard[x, y]
-        x, y = ids[x], ids[y]
-        real = x != y
-        return pa.Table.from_arrays([pa.array(np.minimum(x, y)[real]), pa.array(np.maximum(x, y)[real]), pa.array(value[real])], schema=_FOUND)
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, x, docs[y])
+        np.add.at(links, y, docs[x])
+        label = local_components(len(ids), x, y)
+        some, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
+        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(moved), np.int32)])
+        return pa.Table.from_arrays([pa.array(kind), pa.array(ids[np.concatenate([some, moved])]), pa.array(np.concatenate([links[some], ids[label[moved]]]))], schema=_FOUND)
 
     return run
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (doc_a < doc_b, jaccard) of documents whose word n-gram sets reach the threshold.
-
-    Exact and complete over distinct sets.  Documents with equal sets give one
-    row each, (least id, id, 1.0), and only the least id appears in rows with
-    other sets; every pair of the group follows from those rows.
-
-    ids are integers.  A row without id, without text or without a word joins
-    nothing.  A text of 1 to n-1 words is a set of one token, equal only to the
-    same words.  Repeated rows of one id count once; an id never joins itself,
-    even where its rows differ in text.  Other columns are not read.
+    """(doc_id, class_id, n_links) of every document: which others its word n-gram set joins.
+
+    n_links is the number of other documents whose sets reach the threshold
+    with its own, copies included; class_id is the least id among the documents
+    that links connect it to, directly or through others.  Exact and complete.
+
+    ids are integers.  A row without id gives no row.  A document without text
+    or without a word is alone in its class.  A text of 1 to n-1 words is a set
+    of one token, equal only to the same words.  Repeated rows of one id count
+    once; an id with several texts has the links of all of them, to its own
+    others too, and the least of their classes.  An empty table gives an empty
+    one.  Other columns are not read.
     """
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("n must be positive and the threshold in (0, 1]")
@@ -381,22 +393,28 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     subs = max(1, -(-size // (parts * BYTES_EACH)))
     spread = own.mapInArrow(_spread(n, parts, subs), _ROWS).repartitionById(parts, F.col("part"))
     sets = spread.mapInArrow(_count(parts, subs), _ROWS).repartitionById(parts, F.col("part"))
-    items = checkpoint(sets.mapInArrow(_gather, "kind int, a long, b long, size int, body binary"))
-    item = items.where("kind = 0").select("a", "b", "size", "body")
+    items = checkpoint(sets.mapInArrow(_gather, "kind int, a long, size int, body binary"))
+    members = items.where("kind = 2").mapInArrow(_members, "set long, id long").distinct()
+    of_set = members.groupBy("set").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("docs"))
+    item = items.where("kind = 0").select("a", "size", "body")
     some = max(2 * spark.sparkContext.defaultParallelism, -(-size // (4 * BYTES_EACH)))
     total = item.count()
     classes = tuple(max(int(share * total), least) for share, least in CLASSES)
     links = item.mapInArrow(_sign(threshold, some, classes), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
     groups = components(links)
     tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    pairs = (
+    placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).join(of_set, F.col("node") == F.col("set"))
+    found = checkpoint(
         item.join(placed, item.a == placed.node)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-        .select("component", "i", "j", "tile", "b", "size", "body")
+        .select("component", "i", "j", "tile", "a", "docs", "size", "body")
         .groupBy("component", "i", "j")
-        .applyInArrow(_compare(threshold), "doc_a long, doc_b long, jaccard double")
+        .applyInArrow(_compare(threshold), "kind int, a long, b long")
     )
-    same = items.where("kind = 1").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.unionByName(same)
+    degree = found.where("kind = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("links"))
+    joined = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "set")
+    least = joined.join(of_set, "set").groupBy("component").agg(F.min("least").alias("class_id"))
+    of_set = of_set.join(degree, "set", "left").join(joined.join(least, "component").select("set", "class_id"), "set", "left")
+    of_set = of_set.select("set", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    return members.join(of_set, "set").groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))

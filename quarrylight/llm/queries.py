@@ -25,23 +25,22 @@ WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^0-9a-z\x{80}-\x{10FF
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
-    return pairs.withColumn("jaccard", F.round("jaccard", 6))
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 OP2 = f"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
         ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS gram FROM w),
-s AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS sig FROM g GROUP BY doc_id),
-r AS (SELECT sig, min(doc_id) AS rep, any_value(n) AS n FROM s GROUP BY sig),
-x AS (SELECT rep, n, gram FROM r JOIN g ON g.doc_id = r.rep),
-p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*)::DOUBLE AS c, any_value(a.n) + any_value(b.n) AS n
-      FROM x a JOIN x b ON a.gram = b.gram AND a.rep < b.rep GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >= 5e-1
-UNION ALL SELECT rep, doc_id, 1e0 FROM s JOIN r USING (sig) WHERE doc_id <> rep
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*)::DOUBLE AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 5e-1),
+r(doc, root) AS (SELECT DISTINCT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT b, root FROM r JOIN p ON a = doc WHERE root < b),
+d AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT doc AS doc_id, min(root) AS class_id, coalesce(any_value(d.n), 0)::BIGINT AS n_links FROM r LEFT JOIN d ON d.a = doc GROUP BY doc
 """
 
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"), least=50)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import language_id, quality_rules, textkernel, toxicity
+from quarrylight.llm import language_id, ngram_join, quality_rules, textkernel, toxicity
 from quarrylight.llm.chat import rotate_perspectives
 from quarrylight.llm.components import components
 from quarrylight.llm.fm_index import FMIndex
@@ -51,22 +51,44 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
 
 
-def test_ngram_join_is_exact(docs):
+def classes_by_brute_force(rows, t=0.5, n=3):
+    """{id: (class, links)}: every pair of texts compared, links followed."""
     sets = {}
-    for i, t, *_ in corpus():
-        w = words(t)
-        if i is not None and w:
-            sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)])
-    reps = {}
-    for i in sorted(sets):
-        reps.setdefault(sets[i], i)
-    want = {(reps[s], i): 1.0 for i, s in sets.items() if reps[s] != i}
-    for (a, i), (b, j) in itertools.combinations(sorted(((s, i) for s, i in reps.items()), key=lambda x: x[1]), 2):
-        v = len(a & b) / len(a | b)
-        if v >= 0.5:
-            want[i, j] = v
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_jaccard_join(docs).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for i, x in {r[:2] for r in rows if r[0] is not None}:
+        w = words(x)
+        sets[i, x] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    links, root = dict.fromkeys(sets, 0), {x: x[0] for x in sets}
+    pairs = [(x, y) for x, y in itertools.permutations(sets, 2) if sets[x] and len(sets[x] & sets[y]) >= t * len(sets[x] | sets[y])]
+    for x, y in pairs:
+        links[x] += 1
+    for _ in sets:
+        for x, y in pairs:
+            root[x] = min(root[x], root[y])
+    return {i: (min(v for (j, _), v in root.items() if j == i), sum(v for (j, _), v in links.items() if j == i)) for i, _ in sets}
+
+
+def test_ngram_join_is_exact(docs):
+    want = classes_by_brute_force([(i, t) for i, t, *_ in corpus()])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard_join(docs).collect()}
+    assert got == want and any(n > 1 for _, n in want.values())
+
+
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """A chain, a group of near copies over several tiles, thousands of equal texts: nothing is lost."""
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in r.sample(range(60), r.randint(0, 6)):
+            w[k] = f"x{r.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    chain = [f"c{k}" for k in range(120)]
+    rows += [(100 + i, " ".join(chain[8 * i : 8 * i + 40])) for i in range(10)]
+    rows += [(1000 + i, "equal words of all these rows") for i in range(300)] + [(5000, "x " * 30_000), (5001, "x " * 40_000)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_by_brute_force(rows)
 
 
 def test_signatures_are_complete():
@@ -340,7 +362,6 @@ def test_pipeline_stages(spark):
     assert len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     near = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf)
-    pairs = ngram_jaccard_join(docs)
-    gone = {r.doc_b for r in pairs.collect()}
+    gone = {r.doc_id for r in ngram_jaccard_join(docs).collect() if r.class_id != r.doc_id}
     assert near.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in near.collect()} == gone
     assert corpus_pipeline.run(spark, sf).count() > 0
