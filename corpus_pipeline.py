@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.components import components
 from quarrylight.llm.mixing import mix_sources
 from quarrylight.llm.ngram_join import ngram_jaccard_join
+from quarrylight.llm.ordering import fresh
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.substring_dedup import remove_repeats
 from quarrylight.llm.toxicity import fit, score_toxicity
@@ -26,10 +26,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group connected by n-gram Jaccard pairs the document with the least id stays."""
-    pairs = ngram_jaccard_join(docs, n=3, threshold=0.5)
-    gone = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).where("node > component").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class connected by n-gram Jaccard links the document with the least id stays.
+
+    Rows without id, text or words stay, and repeated rows of an id that stays.
+    """
+    classes = ngram_jaccard_join(docs, n=3, threshold=0.5)
+    (i,) = fresh(docs, "n_id")
+    gone = classes.where("class_id < doc_id").select(F.col("doc_id").alias(i))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(i), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
