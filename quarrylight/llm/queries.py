@@ -9,7 +9,7 @@ from . import language_id, quality_rules
 from .chat import rotate_perspectives
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
-from .nn_descent import near_duplicate_edges
+from .nn_descent import near_duplicate_classes
 from .packing import pack_documents
 from .substring_dedup import repeated_spans
 from .toxicity import fit, score_toxicity
@@ -111,15 +111,32 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_edges(_table(spark, sf_dir, "embeddings"), threshold=0.9).withColumn("cosine", F.round("cosine", 5))
+    return near_duplicate_classes(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-OP8 = """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c
-      FROM e a JOIN e b ON a.vec_id < b.vec_id)
-SELECT vec_a, vec_b, round(c, 5) AS cosine FROM p WHERE c >= 9e-1
+def nn_descent_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table and two variants of each vector, so that every vector has neighbours: op8 where few are near."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    for step in (3, 5):
+        changed = F.transform("embedding", lambda x, i: (x * (1 + F.pmod(F.col("vec_id") * 31 + i * step, F.lit(7)) / 16)).cast("float"))
+        e = e.unionByName(_table(spark, sf_dir, "embeddings").select((F.col("vec_id") + step * 1_000_000_000).alias("vec_id"), changed.alias("embedding")))
+    return near_duplicate_classes(e, threshold=0.9)
+
+
+_OP8 = """,
+c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (a.size * b.size) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS MATERIALIZED (SELECT a, b FROM c WHERE c >= 9e-1),
+r(vec, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT b, root FROM r JOIN p ON a = vec WHERE root < b),
+d AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec AS vec_id, min(root) AS class_id, coalesce(any_value(d.n), 0)::BIGINT AS n_links FROM r LEFT JOIN d ON d.a = vec GROUP BY vec
 """
+OP8 = """
+WITH RECURSIVE e AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""" + _OP8
+PLANTED = """
+WITH RECURSIVE o AS (SELECT vec_id, embedding FROM embeddings
+  UNION ALL SELECT vec_id + 3000000000, list_transform(embedding, lambda x, i: (x * (1 + ((vec_id * 31 + (i - 1) * 3) % 7) / 16e0))::FLOAT) FROM embeddings
+  UNION ALL SELECT vec_id + 5000000000, list_transform(embedding, lambda x, i: (x * (1 + ((vec_id * 31 + (i - 1) * 5) % 7) / 16e0))::FLOAT) FROM embeddings),
+e AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM o))""" + _OP8
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +164,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_nn_descent": op8_nn_descent,
+    "nn_descent_planted": nn_descent_planted,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
 }
@@ -155,6 +173,7 @@ ORACLE_SQL = {
     "op3_substring_dedup": OP3,
     "op5_warc": OP5,
     "op8_nn_descent": OP8,
+    "nn_descent_planted": PLANTED,
     "op9_chat": OP9,
     "op10_mixing": OP10,
 }

@@ -10,13 +10,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import language_id, ngram_join, quality_rules, textkernel, toxicity
+from quarrylight.llm import language_id, ngram_join, nn_descent, quality_rules, textkernel, toxicity
 from quarrylight.llm.chat import rotate_perspectives
 from quarrylight.llm.components import components
 from quarrylight.llm.fm_index import FMIndex
 from quarrylight.llm.mixing import mix_sources
 from quarrylight.llm.ngram_join import ngram_jaccard_join, signatures
-from quarrylight.llm.nn_descent import near_duplicate_edges
+from quarrylight.llm.nn_descent import near_duplicate_classes
 from quarrylight.llm.packing import best_cuts, pack_documents
 from quarrylight.llm.substring_dedup import remove_repeats, repeated_spans
 from quarrylight.llm.textkernel import buffers
@@ -293,22 +293,39 @@ def test_captures(spark):
     ]
 
 
+def vector_classes(x, t=0.9):
+    """(class, links) of each row of x: every pair compared, links followed."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= t
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.minimum(root, np.where(linked, root[None, :], len(x)).min(axis=1))
+        if (low == root).all():
+            break
+        root = low
+    return list(zip(root.tolist(), linked.sum(axis=1).tolist()))
+
+
 def test_nn_descent(spark):
     r = np.random.default_rng(4)
-    x = r.standard_normal((500, 24))
+    x = r.standard_normal((500, 24)).astype(np.float32)
     for i in range(60):
         x[100 + i] = x[i % 3] + 0.02 * r.standard_normal(24)
     x[300:340] = x[340:380] + 0.05 * r.standard_normal((40, 24))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)))}
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 24), (1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(e.vec_a, e.vec_b) for e in near_duplicate_edges(df).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want)
-    assert near_duplicate_edges(df.limit(0)).count() == 0
+    x[400:470] = x[399]  # equal vectors
+    want = vector_classes(x.astype(np.float64))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(3, x[3].tolist(), "y"), (None, [1.0] * 24, "x"), (1000, None, "x"), (1001, [0.0] * 24, None), (1002, [float("nan")] * 24, "x"), (1003, [], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, class_id string").repartition(3)
+    got = {e.vec_id: (e.class_id, e.n_links) for e in near_duplicate_classes(df).collect()}
+    assert got == dict(enumerate(want)) | {i: (i, 0) for i in range(1000, 1004)} and sum(n for _, n in want) > 5000
+    assert near_duplicate_classes(df.limit(0)).count() == 0 and near_duplicate_classes(df.where("vec_id = 1")).collect() == [(1, 1, 0)]
+    with pytest.raises(ValueError):
+        near_duplicate_classes(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>"))
 
 
 def test_nn_descent_large_groups(spark):
+    """Two groups larger than any list whose members are nearer to their own than to the others, and one with a third of all rows."""
     r = np.random.default_rng(6)
 
     def around(centre, n):  # cosine of about 0.99 to each other
@@ -317,14 +334,22 @@ def test_nn_descent_large_groups(spark):
     a, b, c = (v / np.linalg.norm(v) for v in r.standard_normal((3, 32)))
     b -= (a @ b) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
-    x = np.concatenate([around(a, 120), around(b, 120), around(c, 300), r.standard_normal((300, 32))])
+    x = np.concatenate([around(a, 120), around(b, 120), around(c, 300), r.standard_normal((300, 32))]).astype(np.float32)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = unit @ unit.T
     across = sim[:120, 120:240]
     assert 0.9 < np.median(across) and np.max(across) < np.min(sim[:120, :120]) and np.min(sim[:120, :120]) > 0.97
-    got = {(e.vec_a, e.vec_b) for e in near_duplicate_edges(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), audit=50).collect()}
-    low, high = ({(i, j) for i, j in zip(*np.nonzero(np.triu(sim >= t, 1)))} for t in (0.9 - 1e-5, 0.9 + 1e-5))
-    assert high <= got <= low
+    got = {e.vec_id: (e.class_id, e.n_links) for e in near_duplicate_classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), audit=50).collect()}
+    low, high = (vector_classes(x.astype(np.float64), t) for t in (0.9 + 1e-6, 0.9 - 1e-6))
+    assert all(low[i][1] <= got[i][1] <= high[i][1] and got[i][0] in (low[i][0], high[i][0]) for i in range(len(x)))
+
+
+def test_nn_descent_audit(spark, monkeypatch):
+    """A search that finds nothing doesn't pass its audit, even where no two vectors are near."""
+    monkeypatch.setattr(nn_descent, "_search", lambda codes, *_: codes.sparkSession.createDataFrame([], "kind int, a long, b long"))
+    x = np.random.default_rng(1).standard_normal((50, 16))
+    with pytest.raises(RuntimeError, match="recall"):
+        near_duplicate_classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
 
 
 def test_chat(spark):
