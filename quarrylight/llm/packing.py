@@ -32,9 +32,12 @@ def sentence_stops(buf: np.ndarray, end: np.ndarray, following: np.ndarray) -> n
 
     end: byte after each word; following: first byte of the next word, or the end of the text.
     """
-    mark = np.concatenate([[0], np.cumsum(((_END[buf[:-1]] & _SPACE[buf[1:]]) | (buf[:-1] == 10)) if len(buf) else [])])
-    mark = np.append(mark, mark[-1])
-    return mark[np.maximum(following - 1, end)] > mark[end] if len(buf) else np.zeros(0, bool)
+    if not len(buf):
+        return np.zeros(0, bool)
+    mark = np.concatenate([[0], np.cumsum(_END[buf[:-1]] & _SPACE[buf[1:]]), [0]])
+    mark[-1] = mark[-2]
+    line = np.concatenate([[0], np.cumsum(buf == 10)])
+    return (mark[np.maximum(following - 1, end)] > mark[end]) | (line[following] > line[end])
 
 
 def best_cuts(size: np.ndarray, kind: np.ndarray, capacity: int, penalties: tuple[float, float, float]) -> list[int]:
@@ -128,7 +131,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, sentence_penalty: floa
     document in the window), text, n_tokens, n_padding, cut (kind of boundary
     at its end).  Texts are used whole.  Null, empty and wordless texts take
     part in no window.  Rows without id come first, with a null in doc_ids;
-    repeated rows are packed each.  Other columns are not read.
+    repeated rows are packed each.  An empty table gives no window.  Other
+    columns are not read.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
