@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .cluster import checkpoint, pack, partitions, text_bytes, unpack
 from .fm_index import FMIndex
 from .ngram_join import BYTES_EACH, _batch, _bounds
+from .ordering import fresh
 from .textkernel import buffers, mix, ngrams, pieces, words
 
 #: Words of an anchor; words of one FM-index (a shard with more has several, and streams through each).
@@ -49,16 +50,20 @@ def _text_keys(d: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return mix(key + count.astype(np.uint64)), count
 
 
-def _anchors(d: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and hash of each anchor."""
+def _anchors(d: np.ndarray, h: np.ndarray, least: int, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+    """Word index and hash of each anchor.  More than ``most`` words are read in blocks that share least - 1 words."""
     if len(h) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    found = [at + _block_anchors(d[at : at + most + least - 1], h[at : at + most + least - 1], least) for at in range(0, len(h) - least + 1, most)]
+    at = np.unique(np.concatenate(found))
+    return at, ngrams(h, K)[at]
+
+
+def _block_anchors(d: np.ndarray, h: np.ndarray, least: int) -> np.ndarray:
     g = ngrams(h, K)
     w = least - K + 1
     order = np.uint64((1 << 24) - 1)
     x = (g & ~order) | (np.arange(len(g), dtype=np.uint64) & order)
-    if len(g) > int(order):
-        raise ValueError("a piece of text has too many words for one batch")
     size = 1
     while size * 2 <= w:
         x = np.minimum(x[: len(x) - size], x[size:])
@@ -66,8 +71,7 @@ def _anchors(d: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.n
     if size < w:
         x = np.minimum(x[: len(x) - (w - size)], x[w - size :])
     whole = d[: len(x)] == d[least - 1 : least - 1 + len(x)]
-    at = np.unique((x[whole] & order).astype(np.int64))
-    return at, g[at]
+    return np.unique((x[whole] & order).astype(np.int64))
 
 
 def _find(least: int, parts: int):
@@ -308,7 +312,8 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     Words are compared without case and punctuation.  A row without id, text or
     words has no interval.  Repeated rows of one id count as one; of several
     texts under one id, each is compared and the intervals are united.  Long
-    texts are read whole.  Other columns are not read.
+    texts are read whole.  An empty table has no interval.  Other columns are not
+    read.
     """
     if least < K:
         raise ValueError(f"least must be {K} or more")
@@ -327,7 +332,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     return _union(spans.unionByName(copies)).withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
 
-def _remove(names: list[str], text_col: str):
+def _remove(names: list[str], text_col: str, spans_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             buf, offs = buffers(batch.column(text_col))
@@ -335,7 +340,7 @@ def _remove(names: list[str], text_col: str):
             count = np.bincount(d, minlength=batch.num_rows)
             first = np.cumsum(count) - count
             raw, out, keep = buf.tobytes(), [], []
-            for i, spans in enumerate(batch.column("r_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(spans_col).to_pylist()):
                 if spans is None:
                     out.append(batch.column(text_col)[i].as_py())
                     keep.append(True)
@@ -363,14 +368,14 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     Of a row that loses words, the text and, if there is one, ``length_col`` are
     new; a row that loses all its words goes.  Rows without id, text or words
     stay as they are.  Every row of a repeated id loses the intervals of that id,
-    and of equal rows of one id all stay.  Other columns stay.
+    and of equal rows of one id all stay.  An empty table gives an empty one.
+    Other columns stay, whatever their names.
     """
-    if "r_spans" in (c.lower() for c in docs.columns):
-        raise ValueError("the column r_spans is in use here")
-    spans = repeated_spans(docs, least, id_col, text_col).where("earlier").groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("r_spans"))
+    i, at = fresh(docs, "r_id", "r_spans")
+    spans = repeated_spans(docs, least, id_col, text_col).where("earlier").groupBy(F.col("doc_id").alias(i)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(at))
     names = docs.columns
-    cut = docs.join(spans, F.col(id_col).cast("long") == F.col("r_id"), "left").drop("r_id")
-    out = cut.mapInArrow(_remove(names, text_col), docs.schema)
+    cut = docs.join(spans, F.col(id_col).cast("long") == F.col(i), "left").drop(i)
+    out = cut.mapInArrow(_remove(names, text_col, at), docs.schema)
     if length_col in names:
         out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), length_col))
     return out
