@@ -2,8 +2,10 @@
 
 Each task sorts its captures by (URL key, timestamp, id) into a run and cuts it
 at splitters that all tasks share.  A reducer gets one piece of every run for
-its key range and merges the k pieces with a loser tree, so nothing is sorted
-twice and no range is held as rows.  Ranges are in order, so is the whole.
+its key range, about RANGE_ROWS captures, and merges the k pieces with a loser
+tree, so nothing is sorted twice.  Ranges are in order, so is the whole.  A
+capture's place in the history of its key is counted while merging; what a key
+that goes on from the range before has there comes from one row a range.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ RANGE_ROWS, OVERSAMPLE = 200_000, 64
 
 _PIECE = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("urlkey", pa.list_(pa.string())), ("ts", pa.list_(pa.int64())), ("page_id", pa.list_(pa.int64())), ("url", pa.list_(pa.string())), ("digest", pa.list_(pa.string())), ("length", pa.list_(pa.int64()))])
 _PIECES = "part int, run long, urlkey array<string>, ts array<bigint>, page_id array<bigint>, url array<string>, digest array<string>, length array<bigint>"
-_OUT = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("urlkey", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("length", pa.int64())])
+_OUT = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("nth", pa.int64()), ("again", pa.bool_()), ("urlkey", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("length", pa.int64())])
 
 
 def url_key(url: Column) -> Column:
@@ -102,9 +104,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             part = row["part"]
             runs.append(list(zip(*(row[n] for n in names))))
-    held, place = [], 0
+    held, place, nth, key, digest = [], 0, 0, None, None
     for item in LoserTree(runs):
-        held.append((part, place, *item))
+        nth, again = (nth + 1, item[4] == digest) if item[0] == key else (1, False)
+        key, digest = item[0], item[4]
+        held.append((part, place, nth, again, *item))
         place += 1
         if len(held) == 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _OUT)], schema=_OUT)
@@ -122,8 +126,10 @@ def capture_index(pages: DataFrame, ts: Column | None = None, id_col: str = "pag
     without one captures are 37 seconds apart by id from 2024-01-01 on.
 
     A null or empty URL isn't indexed.  A null id or time counts as -1 or 0, a
-    null body as empty.  Repeated rows are captures of their own.  Rows come in
-    range partitions; collect them in order by position.
+    null body as empty.  Repeated rows are captures of their own.  An empty
+    table gives an empty one; other columns are not read.  Rows come in range
+    partitions; collect them in order by position.  The driver gets OVERSAMPLE
+    keys for each RANGE_ROWS captures, to choose splitters from.
     """
     from pyspark.sql import Window
 
@@ -141,14 +147,17 @@ def capture_index(pages: DataFrame, ts: Column | None = None, id_col: str = "pag
     sample = rows.select("urlkey", "ts", "page_id").where(F.pmod(F.xxhash64("urlkey", "ts", "page_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, OVERSAMPLE * parts / max(1, n)))).collect()
     keys = sorted((r[0], r[1], r[2]) for r in sample)
     splitters = sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
-    merged = checkpoint(rows.mapInArrow(_runs(splitters), _PIECES).repartitionById(len(splitters) + 1, F.col("part")).mapInArrow(_merge, "part int, place long, urlkey string, ts long, page_id long, url string, digest string, length long"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
-    starts = merged.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    of = Window.partitionBy("urlkey").orderBy("position")
-    return (
-        merged.join(starts.select("part", "start"), "part")
-        .withColumn("position", F.col("start") + F.col("place"))
-        .withColumn("capture", F.row_number().over(of))
-        .withColumn("revisit", F.coalesce(F.lag("digest").over(of) == F.col("digest"), F.lit(False)))
-        .select("position", "urlkey", "ts", "page_id", "url", "digest", "length", "capture", "revisit")
-    )
+    merged = checkpoint(rows.mapInArrow(_runs(splitters), _PIECES).repartitionById(len(splitters) + 1, F.col("part")).mapInArrow(_merge, "part int, place long, nth long, again boolean, urlkey string, ts long, page_id long, url string, digest string, length long"))
+    # one row a range: windows over these have little to hold
+    at = F.struct("place", "urlkey", "nth", "digest")
+    ranges = merged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first"), F.max(at).alias("last"))
+    order, same = Window.orderBy("part"), Window.partitionBy("last.urlkey").orderBy("part")
+    ranges = ranges.withColumns({"start": F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "so_far": F.sum("last.nth").over(same)})
+    before = F.lag(F.struct("last", "so_far")).over(order)
+    ranges = ranges.withColumn("before", before).select("part", "start", F.col("first.urlkey").alias("key"), *[F.when(F.col("before.last.urlkey") == F.col("first.urlkey"), F.col(f"before.{c}")).alias(n) for c, n in (("so_far", "carried"), ("last.digest", "shown"))])
+    goes_on = F.col("urlkey") == F.col("key")
+    return merged.join(ranges, "part").select(
+        (F.col("start") + F.col("place")).alias("position"), "urlkey", "ts", "page_id", "url", "digest", "length",
+        (F.col("nth") + F.when(goes_on, F.coalesce("carried", F.lit(0))).otherwise(0)).cast("int").alias("capture"),
+        F.when(F.col("place") == 0, F.coalesce(F.col("shown") == F.col("digest"), F.lit(False))).otherwise(F.col("again")).alias("revisit"),
+    )
