@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import fresh
+
 #: Labelled documents of each class that training reads at most.
 TRAIN_ROWS = 5000
 
@@ -82,16 +84,23 @@ def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, t
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, least: int = 3, seed: int = 11) -> list[Rule]:
-    """Ordered rules for the bad examples; only rules of that precision on held-out examples, too, are kept."""
+    """Ordered rules for the bad examples; only rules of that precision on held-out examples, too, are kept.
+
+    Without ``least`` bad examples, or where no statistic tells them, there are
+    none.  Of thresholds that gain equally the first statistic by name wins, and
+    its least threshold.
+    """
     rules: list[Rule] = []
     held = np.random.default_rng(seed).permutation(len(bad)) % 3 == 0
     left = np.ones(len(bad), bool)
+    tried: set[str] = set()
     while (bad & left & ~held).sum() >= least:
         grow, prune = left & ~held, left & held
         conditions: list[tuple[str, bool, float]] = []
         inside = grow.copy()
-        while (~bad & inside).any():
-            gain, c = _best_condition({s: v[inside] for s, v in x.items()}, bad[inside])
+        while (~bad & inside).any() or not conditions:
+            # after rules that didn't hold up, one that begins with another statistic
+            gain, c = _best_condition({s: v[inside] for s, v in x.items() if conditions or s not in tried}, bad[inside])
             if gain <= 0:
                 break
             conditions.append(c)
@@ -110,9 +119,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, lea
         p, n = (c & bad).sum(), (c & ~bad).sum()
         ph, nh = (c & bad & held).sum(), (c & ~bad & held).sum()
         if p < least or p < precision * (p + n) or ph < precision * (ph + nh):
-            break
+            tried.add(conditions[0][0])
+            continue
         rules.append(rule)
         left &= ~c
+        tried = set()
     return rules
 
 
@@ -134,9 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, precis
     return learn({s: np.asarray(rows[s]) for s in stats}, np.asarray(rows["bad"]).astype(bool), precision)
 
 
-def decision(rules: list[Rule], text: Column) -> Column:
+def decision(rules: list[Rule], stats: dict[str, Column]) -> Column:
     """The number (from 1) of the first rule that holds, or 0: one CASE expression."""
-    stats = statistics(text)
     out = None
     for k, r in enumerate(rules, 1):
         out = F.when(r.column(stats), k) if out is None else out.when(r.column(stats), k)
@@ -147,8 +157,15 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> D
     """docs with rule (0: none), reason (the rule in words, null if none) and keep; such columns are replaced.
 
     Null and empty texts have statistics of 0 and are judged by the same rules.
-    Narrow, inside code generation: no shuffle, no Python.
+    Repeated rows are judged alike; an empty table gives an empty one.  Narrow,
+    inside code generation: no shuffle, no Python.  Only statistics that a rule
+    names are computed, once for each row.
     """
     rest = [c for c in docs.columns if c.lower() not in ("rule", "reason", "keep")]
     reasons = F.array(F.lit(None).cast("string"), *[F.lit(str(r)) for r in rules])
-    return docs.select(*rest, decision(rules, F.col(text_col)).cast("int").alias("rule")).select("*", F.element_at(reasons, F.col("rule") + 1).alias("reason"), (F.col("rule") == 0).alias("keep"))
+    used = sorted({s for r in rules for s, _, _ in r.conditions})
+    names = dict(zip(used, fresh(docs, *(f"q_{s}" for s in used))))
+    stats = statistics(F.col(text_col))
+    with_stats = docs.select(*rest, *[stats[s].alias(n) for s, n in names.items()])
+    judged = with_stats.select(*rest, decision(rules, {s: F.col(n) for s, n in names.items()}).cast("int").alias("rule"))
+    return judged.select("*", F.element_at(reasons, F.col("rule") + 1).alias("reason"), (F.col("rule") == 0).alias("keep"))
