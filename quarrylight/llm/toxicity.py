@@ -99,8 +99,8 @@ class _Line:
     def __init__(self, text: bytes):
         buf = np.frombuffer(text, np.uint8)
         _, s, e, _ = words(buf, np.array([0, len(buf)]))
-        self.line, start, size = _layout(buf, s, e)
-        self.cell = np.append(np.repeat(np.arange(len(size), dtype=np.int32), size + 4), [-1] * 3)
+        self.line, _, size = _layout(buf, s, e)
+        self.size = size.astype(np.int32)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of n bytes, and whether it is of one word with its spaces."""
@@ -109,7 +109,8 @@ class _Line:
         with np.errstate(over="ignore"):
             for k in range(n):
                 x = x * np.uint64(0x100000001B3) + b[k : len(b) - n + 1 + k] + np.uint64(1)
-        return x, (self.cell[: len(x)] == self.cell[n - 1 :]) & (self.cell[: len(x)] >= 0)
+        cell = np.append(np.repeat(np.arange(len(self.size), dtype=np.int32), self.size + 4), np.full(3, -1, np.int32))
+        return x, (cell[: len(x)] == cell[n - 1 :]) & (cell[: len(x)] >= 0)
 
     def distinct_grams(self, n: int) -> np.ndarray:
         g, ok = self.grams(n)
