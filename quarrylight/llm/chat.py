@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-END = "<|end|>\n"
+END, ASSISTANT, SYSTEM = "<|end|>\n", "<|assistant|>\n", "<|system|>\n"
 
 
-def _header(role: Column, speaker: Column) -> Column:
-    name = F.regexp_replace(role, "[^0-9A-Za-z_-]", "_")
-    return F.when(role == "system", F.lit("<|system|>\n")).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+def _header(role: Column) -> Column:
+    """Of a turn, to anyone but its speaker."""
+    return F.when(role == "system", F.lit(SYSTEM)).otherwise(F.concat(F.lit("<|user name="), F.regexp_replace(role, "[^0-9A-Za-z_-]", "_"), F.lit("|>\n")))
 
 
 def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -26,27 +26,29 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     text becomes "< |", so that no text can forge a mark.  Rows without
     conv_id are dropped; a conversation of system turns only gives no row.
 
-    Plan: one shuffle by conversation; rendering is JVM expressions on the
-    collected turns.
+    An empty table gives an empty one; other columns are not read.
+
+    Plan: one shuffle by conversation.  Where a turn begins depends on the
+    speaker only by the header of each turn of theirs before it, so a running
+    sum and a running count give every mask in linear time; rendering is JVM
+    expressions on the collected turns.
     """
     role = F.when(F.coalesce(F.col(role_col).cast("string"), F.lit("")) == "", F.lit("unknown")).otherwise(F.col(role_col).cast("string"))
     said = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    conv = (
-        turns.where(F.col(conv_col).isNotNull())
-        .groupBy(F.col(conv_col).alias("conv_id"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 63))).alias("turn"), role.alias("role"), said.alias("said")))).alias("turns"))
-    )
+    said_by = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 63))).alias("turn"), role.alias("role"), said.alias("said"))
+    said_by = said_by.withColumn("head", _header(F.col("role"))).withColumn("size", F.length("said") + len(END))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "said").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv_id", "role").orderBy("turn", "said")
+    ahead = F.coalesce(F.sum(F.length("head") + F.col("size")).over(before), F.lit(0)) - (F.row_number().over(own) - 1) * (F.length("head") - len(ASSISTANT)) + len(ASSISTANT)
+    conv = said_by.withColumn("start", ahead.cast("int")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "said", "head", "start", "size"))).alias("turns"))
     speakers = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t.role), lambda r: r != "system")))
     view = conv.withColumn("speaker", F.explode(speakers))
-    view = view.withColumn("parts", F.transform("turns", lambda t: F.struct(_header(t.role, F.col("speaker")).alias("head"), t.said.alias("said"), (t.role == F.col("speaker")).alias("own"))))
-    view = view.withColumn("size", F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["said"]) + len(END)))
-    view = view.withColumn("start", F.transform("size", lambda n, i: F.aggregate(F.slice("size", 1, i), F.lit(0), lambda a, x: a + x)))
-    spans = F.transform(F.arrays_zip("parts", "start", "size"), lambda z: F.struct(z["parts"]["own"].alias("own"), F.array(z["start"] + F.length(z["parts"]["head"]), z["start"] + z["size"]).alias("span")))
+    mine = F.filter("turns", lambda t: t.role == F.col("speaker"))
     return view.select(
         "conv_id",
         "speaker",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["said"], F.lit(END))), "").alias("text"),
-        F.transform(F.filter(spans, lambda x: x["own"]), lambda x: x["span"]).alias("mask"),
+        F.array_join(F.transform("turns", lambda t: F.concat(F.when(t.role == F.col("speaker"), F.lit(ASSISTANT)).otherwise(t["head"]), t.said, F.lit(END))), "").alias("text"),
+        F.transform(mine, lambda t: F.array(t["start"], t["start"] + t["size"])).alias("mask"),
         F.size("turns").alias("n_turns"),
-        F.size(F.filter("parts", lambda p: p["own"])).alias("n_learned"),
+        F.size(mine).alias("n_learned"),
     )
