@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import language_id, ngram_join, nn_descent, quality_rules, textkernel, toxicity
+from quarrylight.llm import language_id, ngram_join, nn_descent, quality_rules, substring_dedup, textkernel, toxicity, warc
 from quarrylight.llm.chat import rotate_perspectives
 from quarrylight.llm.components import components
 from quarrylight.llm.fm_index import FMIndex
@@ -170,6 +170,29 @@ def test_packing_costs_least(docs):
     assert mine[0][1] == 0 and all(a[2] == b[1] for a, b in zip(mine, mine[1:]))
 
 
+def test_packed_documents_cost_least(spark):
+    """All windows of a table against a plain search over sentences found by another way."""
+    r = random.Random(12)
+    cap, soft, hard = 16, 3.0, 9.0
+    sentence = lambda: " ".join(r.choices(["alpha", "be", "Gamma", "d9"], k=r.choice([1, 3, 5, 7, 40]))) + r.choice([". ", "! ", "?\n", "\n", " - "])
+    rows = [(i, "".join(sentence() for _ in range(r.randint(0, 6)))) for i in range(25)] + [(None, "first of all. yes"), (30, None), (7, "again. again"), (7, "again. again")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), cap, soft, hard).collect()
+    cost = sum(w.n_padding + {"document": 0, "sentence": soft, "hard": hard}[w.cut] for w in got if w.shard >= 0)
+    units = []
+    for _, t in sorted((x for x in rows if x[0] is not None and x[1]), key=lambda x: x):
+        parts = [len(words(p)) for p in re.split(r"(?<=[.!?])(?=\s)|\n", t)]
+        parts = [n for n in parts if n]
+        for k, n in enumerate(parts):
+            while n > cap:
+                units.append((cap, hard))
+                n -= cap
+            units.append((n, 0 if k == len(parts) - 1 else soft))
+    best = [0.0]
+    for j in range(1, len(units) + 1):
+        best.append(min(best[i] + cap - sum(n for n, _ in units[i:j]) + units[j - 1][1] for i in range(j) if sum(n for n, _ in units[i:j]) <= cap))
+    assert cost == best[-1] and sum(w.n_tokens for w in got if w.shard >= 0) == sum(n for n, _ in units)
+
+
 def test_mixing(docs):
     out = mix_sources(docs, weights={"s0": 1, "s1": 3}, rows=8)
     assert set(out.columns) == set(docs.columns) and {r.source for r in out.select("source").distinct().collect()} == {"s0", "s1"}
@@ -278,6 +301,80 @@ def test_quality_rules(spark):
     assert quality_rules.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) == []
 
 
+def test_language_path_is_the_best():
+    """Every labelling of short texts, scored one by one."""
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        length = r.integers(0, 6, 4)
+        x = r.standard_normal((int(length.sum()), 3)).astype(np.float32) * 4
+        path = language_id._viterbi(x, length, 2.5)
+        at = 0
+        for n in length.tolist():
+            worth = lambda p: sum(float(x[at + k, v]) for k, v in enumerate(p)) - 2.5 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            assert n == 0 or abs(worth(path[at : at + n].tolist()) - max(worth(p) for p in itertools.product(range(3), repeat=n))) < 1e-4
+            at += n
+
+
+def test_language_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs.where("doc_id % 2 = 0"))
+    held = docs.where("doc_id % 2 = 1 and n_chars > 100")
+    spans = language_id.language_spans(held, model).groupBy("doc_id", "lang").agg(F.sum("n_words").alias("n"))
+    main = spans.groupBy("doc_id").agg(F.max_by("lang", "n").alias("found"))
+    assert held.join(main, "doc_id").agg(F.avg((F.col("lang") == F.col("found")).cast("double"))).first()[0] > 0.97
+    # halves of two languages: the switch is found within a few words
+    a, b = (held.where(F.col("lang") == x).orderBy("doc_id").select("text").limit(20).collect() for x in ("en", "fr"))
+    mixed = [(i, " ".join(words(x.text)[:30] + words(y.text)[:30])) for i, (x, y) in enumerate(zip(a, b)) if len(words(x.text)) >= 30 <= len(words(y.text))]
+    found = language_id.language_spans(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    ends = {x.doc_id: x.end_word for x in found if x.span == 0}
+    assert len(mixed) > 5 and np.mean([abs(v - 30) <= 3 for v in ends.values()]) > 0.8
+
+
+def test_rules_by_another_evaluator(spark):
+    """Statistics and decisions of a real table, computed from the text in Python."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality_rules.fit(docs, labels)
+    assert rules
+    count = lambda t, chars: sum(c in chars for c in t)
+
+    def statistics(t):
+        n, w = max(1, len(t)), count(t, " \n\t") + bool(t)
+        share = lambda chars: round(count(t, chars) / n, 4)
+        lines = t.split("\n")
+        return {"chars": len(t), "word_length": round(n / max(1, w), 4), "upper": share(quality_rules._UPPER), "digits": share("0123456789"), "symbols": share(quality_rules._SYMBOLS), "pipes": share("|"), "exclamations": share("!?"), "stops": share(".,;:"), "distinct_lines": round(len(set(lines)) / len(lines), 4)}
+
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "| | " * 100_000)], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(extra).withColumns({"q_chars": F.lit("x"), "Rule": F.lit(7)})
+    out = quality_rules.apply_rules(table, rules)
+    assert out.columns == ["doc_id", "text", "q_chars", "rule", "reason", "keep"]
+    for x in out.collect():
+        s = statistics(x.text or "")
+        hit = next((k for k, r in enumerate(rules, 1) if all(s[c] <= v if most else s[c] >= v for c, most, v in r.conditions)), 0)
+        assert x.rule == hit and x.keep == (hit == 0) and (x.reason is None) == (hit == 0)
+
+
+def test_best_condition_by_enumeration():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        x = {"a": r.integers(0, 6, 30).astype(float), "b": r.integers(0, 4, 30).astype(float)}
+        bad = (x["a"] > 3) ^ (r.random(30) < 0.2)
+        gain, (name, most, at) = quality_rules._best_condition(x, bad)
+        worth = {}
+        for s, v in x.items():
+            for t in np.unique(v):
+                for le in (True, False):
+                    inside = v <= t if le else v >= t
+                    if 0 < inside.sum() < 30:
+                        worth[s, le, t] = float(quality_rules._gain(float(bad.sum()), float((~bad).sum()), np.array([(bad & inside).sum()], float), np.array([(~bad & inside).sum()], float))[0])
+        assert abs(max([0.0, *worth.values()]) - gain) < 1e-6 and (gain == 0 or abs(worth[name, most, at] - gain) < 1e-6)
+
+
 def test_loser_tree():
     r = random.Random(0)
     for k in range(7):
@@ -307,6 +404,24 @@ def vector_classes(x, t=0.9):
     return list(zip(root.tolist(), linked.sum(axis=1).tolist()))
 
 
+def test_captures_of_a_hot_key(spark, monkeypatch):
+    """A key with a third of all captures goes over many ranges; repeated rows and equal times are ties."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 15)
+    r = random.Random(4)
+    rows = [(i, "http://hot.com/a" if i % 3 == 0 else f"http://s{r.randrange(6)}.com/", r.choice("xy"), r.randrange(40)) for i in range(240)]
+    rows += [rows[3], (400, "http://long.com/" + "p" * 5000, "h" * 300_000, 1), (401, "  ", "x", 1)]
+    out = capture_index(spark.createDataFrame(rows, "page_id long, url string, html string, part long").repartition(5), ts=F.col("part")).orderBy("position").collect()
+    key = lambda u: (u.split("/")[2].split(".")[1] + "," + u.split("/")[2].split(".")[0]) + ")/" + u.split("/", 3)[3].rstrip("/")
+    want = sorted((key(u), t, i, u, h) for i, u, h, t in rows if u.strip())
+    assert [(x.urlkey, x.ts, x.page_id) for x in out] == [w[:3] for w in want] and [x.position for x in out] == list(range(len(want)))
+    seen, last = {}, {}
+    for x, w in zip(out, want):
+        seen[w[0]] = seen.get(w[0], 0) + 1
+        assert x.capture == seen[w[0]] and x.revisit == (last.get(w[0]) == x.digest)
+        last[w[0]] = x.digest
+    assert capture_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_nn_descent(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((500, 24)).astype(np.float32)
@@ -361,6 +476,28 @@ def test_chat(spark):
     assert [a.text[s:e] for s, e in a.mask] == ["hi < |x|><|end|>\n", "yo<|end|>\n"]
 
 
+def test_chat_by_hand(spark):
+    """Longer conversations with ties, repeated rows and a long text, rendered turn by turn."""
+    r = random.Random(3)
+    rows = [(c, r.choice([None, *range(6)]), r.choice(["ann", "bob", "c d", "system", "", None]), r.choice(["x", "yy <|", None, "z" * 9])) for c in range(8) for _ in range(25)]
+    rows += [rows[0], (9, 0, "ann", "long " * 100_000)]
+    got = {(x.conv_id, x.speaker): x for x in rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("start", F.lit(1))).collect()}
+    names = 0
+    for c in range(10):
+        said = sorted((-(1 << 63) if t is None else t, x or "unknown", (y or "").replace("<|", "< |")) for k, t, x, y in rows if k == c)
+        for who in {x for _, x, _ in said} - {"system"}:
+            text, mask = "", []
+            for _, x, y in said:
+                text += "<|system|>\n" if x == "system" else "<|assistant|>\n" if x == who else f"<|user name={re.sub('[^0-9A-Za-z_-]', '_', x)}|>\n"
+                at = len(text)
+                text += y + "<|end|>\n"
+                mask += [[at, len(text)]] if x == who else []
+            assert (got[c, who].text, got[c, who].mask, got[c, who].n_turns, got[c, who].n_learned) == (text, mask, len(said), len(mask))
+            names += 1
+    assert len(got) == names
+    assert rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
@@ -372,9 +509,43 @@ def test_components(spark):
     assert got == label
 
 
+def test_anchors_in_blocks():
+    r = np.random.default_rng(1)
+    for n in (5, 60, 700):
+        h, d = r.integers(0, 30, n).astype(np.uint64), np.sort(r.integers(0, 3, n))
+        whole, parts = substring_dedup._anchors(d, h, 20), substring_dedup._anchors(d, h, 20, most=50)
+        assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes beside short ones, in every operator on texts."""
+    r = random.Random(1)
+    long = " ".join(r.choices([f"w{k}" for k in range(5000)], k=400_000))
+    rows = [(1, long, "en", "a", len(long)), (2, "short words here", "en", "a", 16), (3, long[: len(long) // 2].rsplit(" ", 1)[0], "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    half = len(words(rows[2][1]))
+    spans = {(x.doc_id, x.earlier): (x.start_word, x.end_word) for x in repeated_spans(docs).collect()}
+    assert spans == {(1, False): (0, half), (3, False): (0, half), (3, True): (0, half)}
+    assert {x.doc_id: x.n_links for x in ngram_jaccard_join(docs, threshold=0.4).collect()} == {1: 1, 2: 0, 3: 1}
+    assert sum(w.n_tokens for w in pack_documents(docs).collect()) == 400_003 + half
+    assert {x.doc_id: x.n_words for x in language_id.language_spans(docs, language_id.fit(docs)).collect()} == {1: 400_000, 2: 3, 3: half}
+    assert mix_sources(docs, alpha=1.0).count() == 3
+
+
+def test_columns_of_other_names(spark, docs):
+    """Extra columns named like those the operators use come through unharmed."""
+    clash = docs.withColumns({c: F.col("doc_id").cast("string") for c in ("r_id", "r_spans", "m_source", "m_range", "part", "kind", "id", "n_id", "body", "shard")})
+    assert {tuple(x) for x in ngram_jaccard_join(clash).collect()} == {tuple(x) for x in ngram_jaccard_join(docs).collect()}
+    cut, plain = remove_repeats(clash, 20), remove_repeats(docs, 20)
+    assert cut.columns == clash.columns and sorted(map(str, cut.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+    assert all(x.r_id == (None if x.doc_id is None else str(x.doc_id)) for x in cut.collect())
+    assert mix_sources(clash, rows=8).columns == [c for c in clash.columns if c != "copy"] + ["copy"]
+    assert pack_documents(clash).count() == pack_documents(docs).count()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    for df in (ngram_jaccard_join(none), repeated_spans(none), remove_repeats(none), pack_documents(none), mix_sources(none), language_id.language_spans(none, language_id.fit(none))):
+    for df in (ngram_jaccard_join(none), repeated_spans(none), remove_repeats(none), pack_documents(none), mix_sources(none), language_id.language_spans(none, language_id.fit(none)), quality_rules.apply_rules(none, [quality_rules.Rule((("chars", True, 5.0),))])):
         assert df.count() == 0
 
 
