@@ -20,7 +20,13 @@ ORACLE_SQL: str | None = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go.  It is trained on the labelled documents of the folder."""
+    """Documents that the classifier rejects go.  It is trained on the labelled documents of the folder.
+
+    Null, empty and wordless texts stay, and so does all where labels of either
+    class are missing.  Rows without id and repeated rows are judged as any
+    other.  Very long texts are scored whole.  An empty table gives an empty
+    one; extra columns stay.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where("not toxic").select(*docs.columns)
 
@@ -29,6 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class connected by n-gram Jaccard links the document with the least id stays.
 
     Rows without id, text or words stay, and repeated rows of an id that stays.
+    Very long texts are compared whole.  An empty table gives an empty one;
+    extra columns stay.
     """
     classes = ngram_jaccard_join(docs, n=3, threshold=0.5)
     (i,) = fresh(docs, "n_id")
@@ -37,17 +45,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that occur before are cut; a document that had nothing else goes."""
+    """Passages of 50 words or more that occur before are cut; a document that had nothing else goes.
+
+    n_chars of a document that loses words is new.  Rows without id, text or
+    words stay as they are; equal rows of one id all stay.  Very long texts are
+    searched whole.  An empty table gives an empty one; extra columns stay.
+    """
     return remove_repeats(docs, least=50)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources get shares by the square root of their size."""
+    """Sources get shares by the square root of their size.
+
+    A document may come several times, as equal rows, or not at all.  Null and
+    empty sources are one source; a null text counts no characters; rows
+    without id come first in the order.  An empty table gives an empty one;
+    extra columns stay.
+    """
     return mix_sources(docs, alpha=0.5, epochs=1.0, seed=7).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens."""
+    """Windows of 2048 tokens.
+
+    Null, empty and wordless texts are in no window; rows without id come first
+    with a null id; repeated rows are packed each.  Texts longer than a window
+    go over several.  An empty table gives no window; extra columns are not
+    read.
+    """
     return pack_documents(docs, capacity=2048)
 
 
@@ -64,7 +89,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; between stages documents are written as Parquet and read again.
 
     They go to the shared folder of spark.checkpoint.dir, or where none is set,
-    as in local tests, to a temporary folder.
+    as in local tests, to a temporary folder.  What each stage does with nulls,
+    repeated rows and long texts is said there; an empty table gives no window.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
