@@ -29,6 +29,15 @@ def bigram_tokens(text: Column) -> Column:
 TOKENIZERS = {"default": tokens, "cjk_bigram": bigram_tokens}
 
 
+def _split_bigrams(word: str) -> list[str]:
+    parts = re.split(f"([{_CJK}]+)", word.lower())
+    return [x for p in parts if p for x in ([p[i : i + 2] for i in range(len(p) - 1)] if len(p) > 1 and re.match(f"[{_CJK}]", p) else [p])]
+
+
+#: The same on the driver, for one word of a query.
+SPLITTERS = {"default": lambda w: [w], "cjk_bigram": _split_bigrams}
+
+
 def words_of(query: str) -> list[str]:
     """The distinct tokens of a query, on the driver, in order."""
     return list(dict.fromkeys(_WORD.findall(query.lower())))

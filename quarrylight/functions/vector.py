@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,12 +40,21 @@ def cosine(v: Column, q: list[float]) -> Column:
 
 
 def hash_embedding(tokens: Column, dim: int, prefix: str = "") -> Column:
-    """Each token adds +1 or -1 at a place that its md5 names; then unit length."""
-    n = lambda t, at: F.conv(F.substring(F.md5(F.concat(F.lit(prefix), t)), at, 8), 16, 10).cast("bigint")
-    marks = F.transform(tokens, lambda t: F.struct((n(t, 1) % dim).cast("int").alias("at"), F.when(n(t, 9) % 2 == 0, 1.0).otherwise(-1.0).alias("by")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _sum(F.transform(F.filter(marks, lambda m: m["at"] == i), lambda m: m["by"])))
-    size = F.sqrt(_sum(F.transform(raw, lambda x: x * x)))
-    return F.when(size > 0, F.transform(raw, lambda x: (x / size).cast("float"))).otherwise(F.transform(raw, lambda x: x.cast("float")))
+    """Each token adds +1 or -1 at a place that its md5 names; then unit length.  Linear: a token is hashed once a batch."""
+
+    @F.pandas_udf("array<float>")
+    def embed(rows: pd.Series) -> pd.Series:
+        size = np.fromiter((0 if r is None else len(r) for r in rows), np.int64, len(rows))
+        words = np.concatenate([r for r in rows if r is not None and len(r)] or [np.zeros(0, object)]).astype(object)
+        code, names = pd.factorize(words)
+        digests = [hashlib.md5((prefix + w).encode()).hexdigest() for w in names]
+        at = np.array([int(x[:8], 16) % dim for x in digests], np.int64)
+        by = np.array([1.0 - 2.0 * (int(x[8:16], 16) % 2) for x in digests])
+        out = np.bincount(np.repeat(np.arange(len(rows)), size) * dim + at[code] if len(code) else np.zeros(0, np.int64), by[code] if len(code) else np.zeros(0), len(rows) * dim).reshape(len(rows), dim)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return pd.Series(list((out / np.where(length > 0, length, 1)).astype(np.float32)))
+
+    return embed(tokens)
 
 
 def signs(n: int, rounds: int, seed: int) -> np.ndarray:

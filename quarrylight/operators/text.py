@@ -1,9 +1,9 @@
 """Full-text search: BM25 over two fields, boolean queries, phrases and prefixes.
 
-Two plans with the same scores.  A few queries scan the chunks: one aggregate
-for document frequencies and mean lengths, then scores as column arithmetic,
-without a shuffle of text.  Many queries join a postings table, built once and
-kept sorted by term.
+Two plans with the same scores.  ``keyword_search`` scans the chunks: one
+aggregate for document frequencies and mean lengths, then scores as column
+arithmetic, for tables without an index.  ``TextIndex`` is a postings table,
+built once and kept sorted by term, of which a query reads its own words.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, tokens, words_of
+from ..functions.text import SPLITTERS, TOKENIZERS, any_of, tokens, words_of
 from ..model import GID
 
 FIELDS = ("text", "heading")
@@ -231,40 +231,140 @@ def keyword_search(chunks: DataFrame, query: str | Node, where: Column | None =
     return rows.withColumn("bm25", score).drop("text_tokens", "heading_tokens")
 
 
+def leaves(node: Node) -> list[Node]:
+    """Terms, phrases and prefixes of a query, those under a not included."""
+    return [node] if node.op in ("term", "phrase", "prefix") else [x for p in node.parts for x in leaves(p)]
+
+
+def _holds(node: Node, leaf) -> Column | bool:
+    """The query as a condition, from what ``leaf`` makes of its leaves."""
+    if node.op in ("all", "maybe"):
+        return F.lit(True)
+    if node.op == "not":
+        return ~_holds(node.parts[0], leaf)
+    if node.op in ("and", "or"):
+        parts = [_holds(p, leaf) for p in node.parts]
+        return reduce(lambda a, b: a & b, parts) if node.op == "and" else any_of(parts)
+    return leaf(node)
+
+
+def matches_nothing_known(node: Node) -> bool:
+    """Whether a chunk without any word of the query matches it."""
+    if node.op in ("all", "maybe"):
+        return True
+    if node.op == "not":
+        return not matches_nothing_known(node.parts[0])
+    if node.op in ("and", "or"):
+        return (all if node.op == "and" else any)(matches_nothing_known(p) for p in node.parts)
+    return False
+
+
+def _within(places: list[Column], slop: int) -> Column:
+    """Whether positions of the words follow each other, with at most ``slop`` other words between them."""
+    last = lambda start: reduce(lambda at, p: F.array_min(F.filter(p, lambda x: x > at)), places[1:], start)
+    return F.coalesce(F.exists(places[0], lambda s: F.coalesce(last(s) - s - (len(places) - 1) <= slop, F.lit(False))), F.lit(False))
+
+
 class TextIndex:
-    """Postings, lengths and counts as tables; rebuildable from the chunks at any time."""
+    """Postings, document frequencies and mean lengths as tables; rebuildable from the chunks at any time."""
 
-    def __init__(self, postings: DataFrame, stats: DataFrame):
-        self.postings, self.stats = postings, stats
+    def __init__(self, postings: DataFrame, stats: DataFrame, frequencies: DataFrame | None = None, tokenizer: str = "default"):
+        self.postings, self.stats, self.tokenizer = postings, stats, tokenizer
+        self.frequencies = frequencies if frequencies is not None else postings.groupBy("term", "field").agg(F.count(F.lit(1)).cast("double").alias("df"))
 
     @classmethod
-    def build(cls, chunks: DataFrame, only: list[str] | None = None) -> TextIndex:
-        """postings(term, field, gid, tf, dl, positions), of the words ``only`` if given; stats(field, n, mean)."""
-        index = with_tokens(chunks.where("searchable"))
+    def build(cls, chunks: DataFrame, tokenizer: str = "default") -> TextIndex:
+        """postings(term, field, gid, tf, dl, positions); stats(field, n, mean); frequencies(term, field, df)."""
+        split = TOKENIZERS[tokenizer]
+        index = chunks.where("searchable").withColumns({"text_tokens": split(F.col("text")), "heading_tokens": split(F.array_join("heading_path", " "))})
         by_field = index.select(*GID, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS])).alias("x")).select(*GID, "x.field", "x.tokens")
         postings = (
             by_field.select(*GID, "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-            .where(F.lit(True) if only is None else F.col("term").isin(only))
             .groupBy("term", "field", *GID)
             .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
         )
         stats = by_field.groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.sum(F.size("tokens")) / F.count(F.lit(1)), F.lit(1.0)).alias("mean"))
-        return cls(postings, stats)
+        return cls(postings, stats, tokenizer=tokenizer)
 
     def save(self, path: str, partitions: int = 32) -> None:
-        """Sorted by term, so that readers skip what a query doesn't ask for."""
-        self.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        """Sorted by term, so that readers skip what a query doesn't ask for.  Frequencies are counted from the postings as written."""
+        spark = self.postings.sparkSession
+        # a frequent term's postings go to several partitions
+        self.postings.repartitionByRange(partitions, "term", *GID).sortWithinPartitions("term", "field", *GID).write.mode("overwrite").parquet(f"{path}/postings")
+        counted = spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count(F.lit(1)).cast("double").alias("df"))
+        counted.repartitionByRange(max(1, partitions // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
+        self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        spark.createDataFrame([(self.tokenizer,)], "tokenizer string").coalesce(1).write.mode("overwrite").parquet(f"{path}/tokenizer")
 
     @classmethod
     def load(cls, spark, path: str) -> TextIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(read("postings"), read("stats"), read("frequencies"), read("tokenizer").first()[0])
+
+    def counts(self) -> DataFrame:
+        """(field, n, mean, terms, postings) of each field."""
+        by = self.frequencies.groupBy("field").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").cast("long").alias("postings"))
+        return self.stats.join(by, "field", "left").select("field", "n", "mean", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("postings", F.lit(0)).alias("postings"))
+
+    def _own_words(self, node: Node) -> Node:
+        """The query in the index's own tokens: a word that is several becomes a phrase of them, or more words of its phrase."""
+        split = SPLITTERS[self.tokenizer]
+        if node.op == "term":
+            found = split(node.words[0])
+            return Node("phrase" if len(found) > 1 else "term", found, 0, node.only) if found else node
+        if node.op == "phrase":
+            return Node("phrase", [x for w in node.words for x in split(w)], node.slop, node.only)
+        return Node(node.op, node.words, node.slop, node.only, [self._own_words(p) for p in node.parts])
+
+    def keyword(self, chunks: DataFrame, query: str | Node, where: Column | None = None, k1: float = 1.2, b: float = 0.75, text_boost: float = 1.0, heading_boost: float = 2.0) -> DataFrame:
+        """As keyword_search, from the postings of the query's words only; of the chunks no text is read.
+
+        The frequencies of the query's words, a few rows, come to the driver.
+        """
+        node = self._own_words(parse_query(query) if isinstance(query, str) else query)
+        live = chunks.where("searchable").where(F.lit(True) if where is None else where)
+        found = leaves(node)
+        if not found:
+            return live.withColumn("bm25", F.lit(1.0)) if node.op == "all" else live.where(_holds(node, lambda _: F.lit(False))).withColumn("bm25", F.lit(0.0))
+        words = sorted({w for x in found if x.op != "prefix" for w in x.words})
+        starts = sorted({x.words[0] for x in found if x.op == "prefix"})
+        term = F.col("term")
+        wanted = any_of(([term.isin(words)] if words else []) + [term.startswith(p) for p in starts])
+        phrased = {w for x in found if x.op == "phrase" for w in x.words}
+        is_ = {(f, w): (F.col("field") == f) & (term == w) for f in FIELDS for w in words}
+        name = {k: f"h{i}" for i, k in enumerate(is_)}
+        aggregates = [F.max(F.when(c, F.col("tf"))).alias(f"{name[k]}_tf") for k, c in is_.items()]
+        aggregates += [F.max(F.when(c, F.col("positions"))).alias(f"{name[k]}_at") for k, c in is_.items() if k[1] in phrased]
+        aggregates += [F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}") for f in FIELDS]
+        aggregates += [F.max((F.col("field") == f) & term.startswith(p)).alias(f"p{i}_{f}") for i, p in enumerate(starts) for f in FIELDS]
+        hits = self.postings.where(wanted).groupBy(*GID).agg(*aggregates)
+
+        def leaf(x: Node) -> Column:
+            fields = [x.only] if x.only else FIELDS
+            if x.op == "term":
+                return any_of([F.col(f"{name[f, x.words[0]]}_tf").isNotNull() for f in fields])
+            if x.op == "prefix":
+                return any_of([F.coalesce(F.col(f"p{starts.index(x.words[0])}_{f}"), F.lit(False)) for f in fields])
+            return any_of([_within([F.col(f"{name[f, w]}_at") for w in x.words], x.slop) for f in fields])
+
+        rows = live.join(hits, list(GID), "left" if matches_nothing_known(node) else "inner").where(_holds(node, leaf))
+        terms, prefixes = scored(node)
+        stats = {r["field"]: r for r in self.stats.collect()}
+        df = {(r["field"], r["term"]): r["df"] for r in self.frequencies.where(term.isin(sorted({w for _, w in terms}))).collect()} if terms else {}
+        score, boosts = F.lit(0.0), {"text": text_boost, "heading": heading_boost}
+        for f, w in sorted(terms):
+            if (f, w) in df:
+                part = _contribution(F.col(f"{name[f, w]}_tf").cast("double"), F.col(f"dl_{f}").cast("double"), idf(F.lit(stats[f]["n"]), F.lit(df[f, w])), F.lit(stats[f]["mean"]), F.lit(float(boosts[f])), k1, b)
+                score = score + F.coalesce(part, F.lit(0.0))
+        for x in prefixes:
+            score = score + F.when(leaf(x), 1.0).otherwise(0.0)
+        return rows.withColumn("bm25", score).select(*chunks.columns, "bm25")
 
     def search(self, queries: DataFrame, k1: float = 1.2, b: float = 0.75, text_boost: float = 1.0, heading_boost: float = 2.0) -> DataFrame:
         """(query_id, gid, bm25) of every chunk with a word of each query of (query_id, query)."""
-        wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-        hits = self.postings.drop("positions").join(wanted.select("term").distinct(), "term", "left_semi")
-        df = hits.groupBy("term", "field").agg(F.count(F.lit(1)).cast("double").alias("df"))
+        wanted = queries.select("query_id", F.explode(F.array_distinct(TOKENIZERS[self.tokenizer](F.col("query")))).alias("term"))
+        # each term's weight once, from tables with a row for each word; then the postings of those words alone
+        weights = self.frequencies.join(wanted.select("term").distinct(), "term", "left_semi").join(self.stats, "field")
         boost = F.when(F.col("field") == "text", F.lit(float(text_boost))).otherwise(F.lit(float(heading_boost)))
         part = _contribution(F.col("tf").cast("double"), F.col("dl").cast("double"), idf(F.col("n"), F.col("df")), F.col("mean"), boost, k1, b)
-        return hits.join(df, ["term", "field"]).join(self.stats, "field").withColumn("part", part).join(wanted, "term").groupBy("query_id", *GID).agg(F.sum("part").alias("bm25"))
+        return self.postings.drop("positions").join(weights, ["term", "field"]).withColumn("part", part).join(wanted, "term").groupBy("query_id", *GID).agg(F.sum("part").alias("bm25"))

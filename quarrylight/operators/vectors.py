@@ -11,17 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..model import GID
 from .ranking import top
 
-#: Bytes of query vectors that go to every task; more are searched in parts.
-QUERY_BYTES = 8 << 20
-
-
 def check_vector(q: list[float], dim: int | None = None) -> list[float]:
     q = [float(x) for x in q]
     if not q or not all(np.isfinite(q)):
@@ -40,43 +37,37 @@ def knn(chunks: DataFrame, q: list[float], k: int, where: Column | None = None,
     return top(rows.withColumn("vector", score), "vector", k)
 
 
-def _block_top(ids: list, matrix: np.ndarray, k: int, column: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            x = V.unit(np.stack(f[column].to_numpy())).astype(np.float64)
-            s = x @ matrix.T
-            m = min(k, len(f))
-            cut = np.partition(s, len(f) - m, axis=0)[len(f) - m]
-            i, j = np.nonzero(s >= cut)
-            out = f[list(GID)].iloc[i].reset_index(drop=True)
-            out.insert(0, "query_id", np.array(ids)[j])
-            out["vector"] = s[i, j]
-            yield out
+def _best_of_block(k: int):
+    """The k best (and ties) of a block of chunks for each query of a block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("collection", pa.string()), ("doc_id", pa.string()), ("chunk_id", pa.int64()), ("vector", pa.float64())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        x, q = (V.unit(np.asarray(t["v"].combine_chunks().flatten(), np.float32).reshape(len(t), -1)).astype(np.float64) for t in (left, right))
+        s = x @ q.T
+        m = min(k, len(x))
+        i, j = np.nonzero(s >= np.partition(s, len(x) - m, axis=0)[len(x) - m])
+        return pa.Table.from_arrays([right["query_id"].take(pa.array(j)), *(left[c].take(pa.array(i)) for c in GID), pa.array(s[i, j])], schema=schema)
 
     return run
 
 
-def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, column: str = "embedding") -> DataFrame:
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, column: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, gid, vector): the k nearest for each query of (query_id bigint, vector).
 
-    A block of chunks times the query matrix leaves each task's k best (and
-    ties) a query; one shuffle of those ranks them.  Queries beyond QUERY_BYTES
-    go in several passes.
+    Blocks of about ``block`` chunks meet blocks of as many queries, each pair
+    of blocks in a task of its own: a matrix product that leaves the k best (and
+    ties) a query, which one shuffle ranks.  Neither side is collected.
     """
-    rows = chunks.where(F.col("searchable") & F.col(column).isNotNull()).where(F.lit(True) if where is None else where).select(*GID, column)
-    found = queries.select("query_id", "vector").toPandas()
-    out = None
-    step = max(1, QUERY_BYTES // (8 * max(1, len(found["vector"].iloc[0]) if len(found) else 1)))
-    for s in range(0, len(found), step):
-        part = found.iloc[s : s + step]
-        matrix = V.unit(np.stack(part["vector"].to_numpy())).astype(np.float64)
-        hits = rows.mapInPandas(_block_top(part["query_id"].tolist(), matrix, k, column), "query_id long, collection string, doc_id string, chunk_id long, vector double")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return rows.select(F.lit(0).cast("long").alias("query_id"), *GID, F.lit(0.0).alias("vector")).limit(0)
-    return top(out, "vector", k, ["query_id"])
+    rows = chunks.where(F.col("searchable") & F.col(column).isNotNull()).where(F.lit(True) if where is None else where).select(*GID, F.col(column).cast("array<float>").alias("v"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("v"))
+    n, m = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    grid = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = rows.withColumn("i", F.pmod(F.xxhash64(*GID), F.lit(n)).cast("int")).withColumn("j", grid(m))
+    right = asked.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int")).withColumn("i", grid(n))
+    hits = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_of_block(k), "query_id long, collection string, doc_id string, chunk_id long, vector double")
+    return top(hits, "vector", k, ["query_id"])
 
 
 def binary_codes(chunks: DataFrame, column: str = "embedding") -> DataFrame:
@@ -154,10 +145,11 @@ class ClusterIndex:
     sample that trains the centroids is bounded; every vector is assigned.
     """
 
+    #: Up to so many vectors a search reads all of them.
     EXACT = 1000
 
-    def __init__(self, rows: DataFrame, centroids: np.ndarray):
-        self.rows, self.centroids = rows, centroids
+    def __init__(self, rows: DataFrame, centroids: np.ndarray, n: int):
+        self.rows, self.centroids, self.n = rows, centroids, n
 
     @classmethod
     def build(cls, chunks: DataFrame, clusters: int | None = None, train_rows: int = 20_000, rounds: int = 12, seed: int = 3, column: str = "embedding") -> ClusterIndex:
@@ -178,22 +170,31 @@ class ClusterIndex:
         def nearest(v: pd.Series) -> pd.Series:
             return pd.Series((V.unit(np.stack(v.to_numpy()).astype(np.float32)) @ centroids.T).argmax(axis=1).astype(np.int32))
 
-        return cls(rows.withColumn("cluster", nearest(F.col(column))) if len(centroids) else rows.withColumn("cluster", F.lit(0)), centroids)
+        return cls(rows.withColumn("cluster", nearest(F.col(column))) if len(centroids) else rows.withColumn("cluster", F.lit(0)), centroids, n)
 
     def save(self, path: str) -> None:
-        self.rows.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/vectors")
-        self.rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "cluster int, center array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        # a hot cluster is several files: rows of one are spread by their identifiers
+        self.rows.repartition("cluster", F.pmod(F.xxhash64(*GID), F.lit(max(1, self.n // 2_000_000)))).write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/vectors")
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(i, c.tolist(), self.n) for i, c in enumerate(self.centroids)], "cluster int, center array<float>, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @classmethod
     def load(cls, spark, path: str) -> ClusterIndex:
         c = spark.read.parquet(f"{path}/centroids").orderBy("cluster").toPandas()
-        return cls(spark.read.parquet(f"{path}/vectors"), np.stack(c["center"].to_numpy()).astype(np.float32))
+        if not len(c):
+            return cls(spark.read.parquet(f"{path}/vectors"), np.zeros((0, 1), np.float32), 0)
+        return cls(spark.read.parquet(f"{path}/vectors"), np.stack(c["center"].to_numpy()).astype(np.float32), int(c["n"][0]))
 
-    def search(self, q: list[float], k: int, probes: int = 8, where: Column | None = None, column: str = "embedding") -> DataFrame:
-        """As knn.  Four times the clusters are probed while there are fewer than k hits; few vectors are searched whole."""
+    def search(self, q: list[float], k: int, probes: int | None = None, where: Column | None = None, column: str = "embedding") -> DataFrame:
+        """As knn, over the ``probes`` clusters whose centroids are nearest; by default a quarter of them, 10 at least.
+
+        Four times the clusters are probed while there are fewer than k hits.
+        With all clusters, or up to EXACT vectors, it is exact.
+        """
         q = check_vector(q, self.centroids.shape[1] if len(self.centroids) else None)
         order = np.argsort(-(self.centroids @ V.unit(np.array([q], np.float32))[0]), kind="stable").tolist()
-        if len(self.centroids) ** 2 <= self.EXACT:
+        probes = max(1, probes) if probes else max(10, len(order) // 4)
+        if self.n <= self.EXACT:
             probes = len(order)
         while True:
             near = order[:probes]
@@ -201,13 +202,3 @@ class ClusterIndex:
             if probes >= len(order) or hits.count() >= k:
                 return hits.drop("cluster")
             probes *= 4
-
-
-def nearest_of_all(chunks: DataFrame, k: int, column: str = "embedding") -> DataFrame:
-    """Every chunk's k nearest other chunks, exactly, by blocks of a cross product: (gid of a, gid of b, vector)."""
-    a = chunks.where(F.col(column).isNotNull()).select(*[F.col(c).alias(f"a_{c}") for c in GID], F.col(column).alias("va"))
-    b = chunks.where(F.col(column).isNotNull()).select(*GID, F.col(column).alias("vb"))
-    pairs = a.crossJoin(b).where(F.struct(*[f"a_{c}" for c in GID]) != F.struct(*GID))
-    scored = pairs.withColumn("vector", V.dot(F.col("va"), F.col("vb")) / (V.l2(F.col("va")) * V.l2(F.col("vb")))).drop("va", "vb")
-    w = Window.partitionBy(*[f"a_{c}" for c in GID]).orderBy(F.desc("vector"), *GID)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

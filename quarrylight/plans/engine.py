@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import highlight, similar_query
 from ..model import GID, citation_id, complete, encode_cursor, split_citation
 from ..operators import ranking
 from ..operators.text import TextIndex, keyword_search, parse_query, scored
-from ..operators.vectors import knn
+from ..operators.vectors import ClusterIndex, knn
+from ..sources.store import ChunkStore
 from .filters import compile_filter, targets_image, visible
 from .request import Caller, SearchRequest
 
@@ -26,11 +27,51 @@ class SearchEngine:
     """Keyword, vector and hybrid search with access control.
 
     embed: query text -> vector, for vector searches by text.  cross_modal: its
-    vectors of texts and images can be compared.
+    vectors of texts and images can be compared.  text: an index of the chunks'
+    words; vectors: one of their vectors.  Without them a search reads the chunk
+    table.
     """
 
-    def __init__(self, chunks: DataFrame, embed=None, cross_modal: bool = False):
-        self.chunks, self.embed, self.cross_modal = complete(chunks), embed, cross_modal
+    #: Columns of chunks that only hits need.
+    WIDE = ("text", "metadata", "media", "bbox", "embedding")
+
+    def __init__(self, chunks: DataFrame, embed=None, cross_modal: bool = False, text: TextIndex | None = None, vectors: ClusterIndex | None = None):
+        self.chunks, self.embed, self.cross_modal, self.text, self.vectors = complete(chunks), embed, cross_modal, text, vectors
+
+    @classmethod
+    def create(cls, chunks: DataFrame, path: str, tokenizer: str = "default", clusters: int | None = None, **options) -> SearchEngine:
+        """Writes chunks (sorted by identifier), postings and clusters of vectors under ``path``, and opens them.
+
+        Everything but the chunks can be made again from them: see ``rebuild``.
+        """
+        ChunkStore(chunks.sparkSession, f"{path}/chunks").write(complete(chunks))
+        return cls.rebuild(chunks.sparkSession, path, tokenizer, clusters, **options)
+
+    @classmethod
+    def rebuild(cls, spark: SparkSession, path: str, tokenizer: str = "default", clusters: int | None = None, **options) -> SearchEngine:
+        """All indexes anew, from the stored chunks."""
+        chunks = ChunkStore(spark, f"{path}/chunks").read()
+        TextIndex.build(chunks, tokenizer).save(f"{path}/text")
+        if "embedding" in chunks.columns:
+            few = [c for c in chunks.columns if c not in cls.WIDE or c == "embedding"]
+            ClusterIndex.build(chunks.select(few), clusters).save(f"{path}/vectors")
+        return cls.open(spark, path, **options)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options) -> SearchEngine:
+        chunks = ChunkStore(spark, f"{path}/chunks").read()
+        vectors = ClusterIndex.load(spark, f"{path}/vectors") if "embedding" in chunks.columns else None
+        return cls(chunks, text=TextIndex.load(spark, f"{path}/text"), vectors=vectors, **options)
+
+    def lookup(self, hits: DataFrame) -> DataFrame:
+        """The chunks of hits, with the hits' columns.  Hits are some thousands at most: their identifiers choose what is read."""
+        rows = hits.collect()
+        docs = sorted({r["doc_id"] for r in rows})
+        few = self.chunks.sparkSession.createDataFrame(rows, hits.schema)
+        chunks = self.chunks.where(F.col("doc_id").between(docs[0], docs[-1]) & F.col("collection").isin(sorted({r["collection"] for r in rows}))) if docs else self.chunks.limit(0)
+        if 0 < len(docs) <= 1000:
+            chunks = chunks.where(F.col("doc_id").isin(docs))
+        return chunks.join(F.broadcast(few), list(GID))
 
     def search(self, request: SearchRequest, caller: Caller = Caller(), query_image: bytes | None = None) -> DataFrame:
         """Hits in order: gid, citation_id, score, bm25, vector, rerank, sort_key, page, section_id, heading_path and what the request asks for.
@@ -49,24 +90,24 @@ class SearchEngine:
         by_keyword = r.mode == "keyword" or (r.mode == "hybrid" and not (by_vector and not r.query.strip()))
         where = visible(caller.tenant, caller.tags) & compile_filter(r.filter)
         keyword = self.keyword_candidates(r, where) if by_keyword else None
-        nearest = knn(self.chunks, vector, r.candidates, where) if by_vector else None
+        nearest = self.vector_candidates(r, vector, where) if by_vector else None
         if keyword is None and nearest is None:
             return self._finish(self.chunks.limit(0).withColumns({"score": F.lit(0.0), "bm25": F.lit(0.0), "vector": F.lit(0.0)}), r)
         hits = ranking.fuse(keyword, nearest, r.fusion, r.rank_constant, r.ratio)
-        # texts and the rest join only the few hits
-        return self._finish(self.chunks.join(F.broadcast(hits), list(GID)), r)
+        # texts and the rest are read for the few hits only
+        return self._finish(self.lookup(hits), r)
 
     def keyword_candidates(self, r: SearchRequest, where: Column) -> DataFrame:
-        node = parse_query(r.query)
-        words = [p.words[0] for p in node.parts if p.op == "term" and p.only is None]
-        if node.op == "or" and len(words) == len(node.parts) > 6:
-            # many words: their postings, rather than a long expression for each chunk
-            queries = self.chunks.sparkSession.createDataFrame([(0, " ".join(words))], "query_id long, query string")
-            scores = TextIndex.build(self.chunks, words).search(queries, r.k1, r.b, r.text_boost, r.heading_boost).drop("query_id")
-            hits = self.chunks.where("searchable").where(where).join(scores, list(GID))
-        else:
-            hits = keyword_search(self.chunks, node, where, r.k1, r.b, r.text_boost, r.heading_boost)
-        return ranking.top(hits, "bm25", r.candidates)
+        options = (where, r.k1, r.b, r.text_boost, r.heading_boost)
+        if self.text is not None:
+            slim = self.chunks.drop(*self.WIDE)
+            return ranking.top(self.text.keyword(slim, r.query, *options), "bm25", r.candidates)
+        return ranking.top(keyword_search(self.chunks, parse_query(r.query), *options), "bm25", r.candidates)
+
+    def vector_candidates(self, r: SearchRequest, vector: list[float], where: Column) -> DataFrame:
+        if self.vectors is not None:
+            return self.vectors.search(vector, r.candidates, r.probes, where)
+        return knn(self.chunks, vector, r.candidates, where)
 
     def _finish(self, hits: DataFrame, r: SearchRequest) -> DataFrame:
         hits = hits.withColumns({"rerank": F.lit(None).cast("double"), "sort_key": F.col("score"), "merged_chunk_ids": F.array().cast("array<bigint>")})
@@ -121,7 +162,7 @@ class SearchEngine:
         """citation_id, kind (doc_render, signed_url or inline_ref), page, bbox and media of those that exist and the caller sees."""
         gids = [g for g in map(split_citation, citations) if g]
         ids = self.chunks.sparkSession.createDataFrame(gids, "collection string, doc_id string, chunk_id long")
-        rows = self.chunks.where(visible(caller.tenant, caller.tags)).join(F.broadcast(ids.distinct()), list(GID))
+        rows = self.chunks.where(visible(caller.tenant, caller.tags)).join(F.broadcast(ids.distinct()) if len(gids) <= 10_000 else ids.distinct(), list(GID))
         asset = F.col("media")["asset"]["kind"] if "media" in rows.columns else F.lit(None).cast("string")
         how = F.when(asset == "object", "signed_url").when(asset == "inline", "inline_ref").otherwise("doc_render")
         return rows.select(citation_id().alias("citation_id"), how.alias("resolve_as"), "page", *(["bbox"] if "bbox" in rows.columns else []), *([public_media(F.col("media")).alias("media")] if "media" in rows.columns else []))

@@ -20,9 +20,11 @@ def survivors(events: DataFrame) -> DataFrame:
     return last.join(cut, list(DOC), "left").where(F.col("cut").isNull() | (at > F.col("cut"))).drop("cut")
 
 
-def apply_changes(chunks: DataFrame, events: DataFrame, applied: int = 0) -> DataFrame:
-    """The table after all events with an lsn above ``applied``.  Applying events twice changes nothing."""
-    new = events.where(F.col("lsn") > applied)
+def apply_changes(chunks: DataFrame, events: DataFrame, applied: int | tuple[int, int] = 0) -> DataFrame:
+    """The table after all events past ``applied``, an lsn or (lsn, seq).  Applying events twice changes nothing."""
+    lsn, seq = applied if isinstance(applied, tuple) else (applied, None)
+    past = F.col("lsn") > lsn
+    new = events.where(past if seq is None else past | ((F.col("lsn") == lsn) & (F.col("seq") > seq)))
     touched = new.where("op <> 'delete_doc'").select(*GID).distinct()
     docs = new.where("op = 'delete_doc'").select(*DOC).distinct()
     rows = survivors(new).where("op = 'upsert'").drop(*EVENT_KEYS)
@@ -36,21 +38,23 @@ def refetch(events: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 class Applier:
-    """foreachBatch function: applies a batch to a store, then notes its lsn.
+    """foreachBatch function: applies a batch to a store, then notes how far it came.
 
-    The table and the lsn are written by one manifest, so a crash in between
-    leaves the old state, and a batch that comes again is skipped.
+    The table and the last (lsn, seq) are written by one manifest, so a crash in
+    between leaves the old state, and a batch that comes again is skipped.  The
+    events of one lsn may come in several batches, in the order of seq.
     """
 
     def __init__(self, store):
         self.store = store
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        applied = self.store.manifest()["applied_lsn"]
-        top = batch.agg(F.max("lsn")).first()[0]
-        if top is None or top <= applied:
+        m = self.store.manifest()
+        applied = (m["applied_lsn"], m.get("applied_seq", 1 << 62))  # noted without seq: all of that lsn
+        top = batch.agg(F.max(F.struct("lsn", "seq")).alias("top")).first()["top"]
+        if top is None or (top["lsn"], top["seq"]) <= applied:
             return
-        self.store.write(apply_changes(self.store.read(), batch, applied), applied_lsn=top, batch=batch_id)
+        self.store.write(apply_changes(self.store.read(), batch, applied), applied_lsn=top["lsn"], applied_seq=top["seq"], batch=batch_id)
 
 
 def run(events: DataFrame, store, checkpoint: str, once: bool = True, every: str = "1 second"):
