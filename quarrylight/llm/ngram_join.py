@@ -19,7 +19,10 @@ frequencies; tokens of one set only match nothing and end here -> back to
 their sets (shuffle 2, what is repeated only) -> signatures (shuffle 3) ->
 groups of sets connected by signatures, which hold every candidate pair ->
 each group's pairs verified at once, as a matrix product over its repeated
-tokens, which hold every intersection.  A task returns the links of each of its
+tokens, which hold every intersection.  Large groups are parted first: Jaccard
+distance is a metric, so sets within half the greatest distance of a centre all
+link to each other and need no comparing, and only sets within one and a half
+of it can link to any of them.  A task returns the links of each of its
 sets as a number and the sets they connect as a forest, never pairs.  Rows
 travel packed, because a Spark row for each of the corpus's n-grams would be
 several times the corpus.  Documents with equal sets are one set with a number
@@ -46,6 +49,8 @@ CLASSES = ((0.01, 256), (0.05, 1024))
 TOKEN_BITS = 42
 #: N-grams a task gathers before it packs them; bytes of text whose n-grams a reducer handles at once, and how many such pieces it has.
 FLUSH, BYTES_EACH, PIECES = 1_500_000, 18_000_000, 4
+#: Bytes of text whose n-grams a range has, until there are so many ranges.
+RANGE_BYTES, MANY = 12_000_000, 4096
 #: Turns a document without words into a set of its own.
 _ALONE = np.uint64(0xA54FF53A5F1D36F1)
 
@@ -312,6 +317,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Sets of one tile: larger groups of candidates are compared tile by tile, on as many tasks.
 TILE = 1500
+#: Centres of a large group in one round, and rounds at most: what they don't place is compared tile by tile.
+CENTRES, ROUNDS = 16, 6
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -341,20 +348,24 @@ def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
     return out
 
 
+def _sets(table: pa.Table, rows) -> list[np.ndarray]:
+    body = table.column("body").to_pylist()
+    return [np.cumsum(unpack(body[k], np.uint64, np.uint32)[0], dtype=np.uint64) for k in rows]
+
+
 def _compare(t: float):
-    """Of the pairs of one tile of a group, or of two, that reach the threshold: kind 0, how many documents a set is linked to by them; kind 1, a forest of them."""
+    """Of the pairs of a tile (or of two, or of a core and others) that reach the threshold: kind 0, how many documents a set is linked to by them; kind 1, a forest of them."""
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        own = np.asarray(table.column("tile"))
-        o = np.argsort(own != i, kind="stable")
-        left = int((own == i).sum())
+        core, i, j = (key[k].as_py() for k in (1, 2, 3))
+        side = np.asarray(table.column("side"))
+        o = np.argsort(side, kind="stable")
+        left = int((side == 0).sum())
         ids, docs, size = (np.asarray(table.column(c))[o] for c in ("a", "docs", "size"))
         size = size.astype(np.float64)
-        body = table.column("body").to_pylist()
-        both = overlaps([np.cumsum(unpack(body[k], np.uint64, np.uint32)[0], dtype=np.uint64) for k in o], left)
+        both = overlaps(_sets(table, o), left)
         ok = both / (size[:left, None] + size[None, :] - both) >= t - 1e-9
-        if i == j:
+        if core < 0 and i == j:
             ok &= np.arange(left)[:, None] < np.arange(len(ids))[None, :]
         else:
             ok[:, :left] = False
@@ -370,6 +381,54 @@ def _compare(t: float):
     return run
 
 
+def _near_centres(least: float):
+    """Which centres of its group each set of a tile is near to."""
+    schema = pa.schema([("a", pa.int64()), ("no", pa.int32()), ("c", pa.int64()), ("near", pa.float64())])
+
+    def run(sets: pa.Table, centres: pa.Table) -> pa.Table:
+        if not len(sets) or not len(centres):
+            return schema.empty_table()
+        size = np.concatenate([np.asarray(t.column("size")) for t in (centres, sets)]).astype(np.float64)
+        m = len(centres)
+        both = overlaps(_sets(centres, range(m)) + _sets(sets, range(len(sets))), m)[:, m:]
+        near = both / (size[:m, None] + size[None, m:] - both)
+        k, x = np.nonzero(near >= least)
+        take = lambda t, c, at: t.column(c).combine_chunks().take(pa.array(at))
+        return pa.Table.from_arrays([take(sets, "a", x), take(centres, "no", k), take(centres, "c", k), pa.array(near[k, x])], schema=schema)
+
+    return run
+
+
+def _parted(big: DataFrame, tiles: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """Centres of large groups: (a, no, c, near), the sets that are near to one; (a, no, c), the core each set is of.
+
+    A round takes up to CENTRES sets of each group for centres; each set that is
+    within half of 1 - t of one joins the core of the first such.  Rounds end
+    when they place less than a tile of sets.
+    """
+    near, own, rest = None, None, big
+    for r in range(ROUNDS):
+        first = F.min(F.struct(F.xxhash64("a", F.lit(r)).alias("h"), "a"))
+        chosen = rest.where(F.col("tile") < CENTRES).groupBy("component", "tile").agg(first.alias("first")).select("component", (F.col("tile") + r * CENTRES).alias("no"), F.col("first.a").alias("c"))
+        bodies = rest.select(F.col("a").alias("c"), F.col("size").alias("c_size"), F.col("body").alias("c_body"))
+        centres = chosen.join(bodies, "c").join(tiles, "component").select(F.col("component").alias("of"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("cell"), "no", "c", F.col("c_size").alias("size"), F.col("c_body").alias("body"))
+        found = checkpoint(rest.groupBy("component", "tile").cogroup(centres.groupBy("of", "cell")).applyInArrow(_near_centres(1 - 1.5 * (1 - t) - 1e-9), "a long, no int, c long, near double"))
+        placed = found.where(F.col("near") >= (1 + t) / 2).groupBy("a").agg(F.min(F.struct("no", "c")).alias("own")).select("a", "own.no", "own.c")
+        near, own = (found, placed) if near is None else (near.unionByName(found), own.unionByName(placed))
+        if placed.count() < TILE:
+            break
+        rest = rest.join(placed, "a", "left_anti")
+    return near, own
+
+
+def _tiled(rows: DataFrame, by: str) -> DataFrame:
+    """rows (.., a) of groups -> the pairs of tiles (i, j) each row takes part in, and on which side."""
+    tiles = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = rows.join(tiles, by).withColumn("tile", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    i, j = F.least("tile", "other"), F.greatest("tile", "other")
+    return placed.select(by, F.lit(-1).alias("core"), i.alias("i"), j.alias("j"), ((F.col("tile") == j) & (i < j)).cast("int").alias("side"), "a")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) of every document: which others its word n-gram set joins.
 
@@ -389,7 +448,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(own, "text")
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // (PIECES * BYTES_EACH)))
+    parts = max(2 * spark.sparkContext.defaultParallelism, min(MANY, -(-size // RANGE_BYTES)), -(-size // (PIECES * BYTES_EACH)))
     subs = max(1, -(-size // (parts * BYTES_EACH)))
     spread = own.mapInArrow(_spread(n, parts, subs), _ROWS).repartitionById(parts, F.col("part"))
     sets = spread.mapInArrow(_count(parts, subs), _ROWS).repartitionById(parts, F.col("part"))
@@ -403,15 +462,29 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     links = item.mapInArrow(_sign(threshold, some, classes), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
     groups = components(links)
     tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    placed = groups.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).join(of_set, F.col("node") == F.col("set"))
-    found = checkpoint(
-        item.join(placed, item.a == placed.node)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-        .select("component", "i", "j", "tile", "a", "docs", "size", "body")
-        .groupBy("component", "i", "j")
-        .applyInArrow(_compare(threshold), "kind int, a long, b long")
-    )
+    large = checkpoint(tiles.where("tiles > 1"))
+    sets = item.join(of_set.select(F.col("set").alias("a"), "docs"), "a")
+    rows = _tiled(groups.join(large, "component", "left_anti").select("component", F.col("node").alias("a")), "component")
+    certain = None
+    if not large.isEmpty():
+        placed = groups.join(large, "component").select("component", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+        big = checkpoint(sets.join(placed, "a"))
+        near, own = _parted(big, large, threshold)
+        core = big.select("component", "a", "docs").join(own, "a")
+        sums = core.groupBy("component", "no").agg(F.sum("docs").alias("all"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("lefts"))
+        core = core.join(sums, ["component", "no"])
+        certain = core.select(F.lit(0).alias("kind"), "a", (F.col("all") - F.col("docs")).alias("b")).unionByName(core.where("a <> c").select(F.lit(1).alias("kind"), "a", F.col("c").alias("b")))
+        # who may link to a core: sets of later cores, and of none
+        others = near.join(own.select("a", F.col("no").alias("of")), "a", "left").where("of is null or of > no").join(big.select("a", "component"), "a").select("component", "no", "a")
+        rights = others.groupBy("component", "no").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("rights"))
+        cell = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = core.join(rights, ["component", "no"]).withColumn("i", cell("lefts")).withColumn("j", spread("rights")).withColumn("side", F.lit(0))
+        right = others.join(rights, ["component", "no"]).join(sums, ["component", "no"]).withColumn("j", cell("rights")).withColumn("i", spread("lefts")).withColumn("side", F.lit(1))
+        pick = lambda df: df.select("component", F.col("no").alias("core"), "i", "j", "side", "a")
+        rows = rows.unionByName(_tiled(big.join(own, "a", "left_anti").select("component", "a"), "component")).unionByName(pick(left)).unionByName(pick(right))
+    found = rows.join(sets, "a").groupBy("component", "core", "i", "j").applyInArrow(_compare(threshold), "kind int, a long, b long")
+    found = checkpoint(found if certain is None else found.unionByName(certain))
     degree = found.where("kind = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("links"))
     joined = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "set")
     least = joined.join(of_set, "set").groupBy("component").agg(F.min("least").alias("class_id"))

@@ -91,6 +91,25 @@ def test_ngram_join_of_large_groups(spark, monkeypatch):
     assert got == classes_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_ngram_join_parts_large_groups(spark, monkeypatch, seed):
+    """Near copies of several bases that run into each other: cores, sets near to cores, and the rest, over several tiles."""
+    monkeypatch.setattr(ngram_join, "TILE", 6)
+    monkeypatch.setattr(ngram_join, "CENTRES", 2)
+    r = random.Random(seed)
+    bases = [[f"b{k}_{x}" for x in range(50)] for k in range(3)]
+    for k in (1, 2):  # bases share half of their words
+        bases[k][: 25 + 3 * k] = bases[k - 1][: 25 + 3 * k]
+    rows = []
+    for i in range(120):
+        w = list(r.choice(bases))
+        for k in r.sample(range(50), r.choice([0, 0, 1, 2, 3, 6])):
+            w[k] = f"x{r.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_by_brute_force(rows)
+
+
 def test_signatures_are_complete():
     """Sets that reach the threshold share a signature, whatever the classes."""
     r = np.random.default_rng(0)
