@@ -33,3 +33,21 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
 def regressions(current: dict[str, float], baseline: dict[str, float], tolerance: float = 0.02) -> list[str]:
     """The metrics that fell by more than the tolerance."""
     return [m for m in METRICS if current[m] + tolerance < baseline[m]]
+
+
+def golden_run(engine, cases: list[dict], k: int = 5, caller=None) -> tuple[dict[str, float], DataFrame]:
+    """(mean metrics, metrics by query) of an engine on cases {"query": text, "relevant": {citation: grade}}.
+
+    Keyword searches; a case's number is its query_id.  Golden sets are small:
+    their queries run one by one.
+    """
+    from ..plans.request import Caller, SearchRequest
+
+    found, judged = [], []
+    for i, case in enumerate(cases):
+        hits = engine.search(SearchRequest(query=case["query"], mode="keyword", top_k=max(k, 10)), caller or Caller())
+        found += [(i, r["citation_id"], n) for n, r in enumerate(hits.select("citation_id").collect(), 1)]
+        judged += [(i, c, float(g)) for c, g in case["relevant"].items()]
+    spark = engine.chunks.sparkSession
+    per_query = evaluate(spark.createDataFrame(found, "query_id long, citation string, rank int"), spark.createDataFrame(judged, "query_id long, citation string, grade double"), k)
+    return mean_metrics(per_query).first().asDict(), per_query

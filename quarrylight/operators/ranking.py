@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +75,10 @@ def collapse(hits: DataFrame, field: str, most: int = 1, score: str = "score") -
     return top(hits, score, most, keys) if keys else hits
 
 
-def rerank(hits: DataFrame, query: str, k: int) -> DataFrame:
-    """The k best by score, with rerank: Jaccard similarity of their words and the query's."""
-    q = bigram_tokens(F.lit(query))
-    return top(hits, "score", k).withColumn("rerank", jaccard(bigram_tokens(F.col("text")), q))
+def rerank(hits: DataFrame, query: str, k: int, by: Callable[[str, Column], Column] | None = None) -> DataFrame:
+    """The k best by score, with rerank: what ``by`` makes of the query and the texts, or the Jaccard similarity of their words."""
+    score = by(query, F.col("text")) if by else jaccard(bigram_tokens(F.col("text")), bigram_tokens(F.lit(query)))
+    return top(hits, "score", k).withColumn("rerank", score.cast("double"))
 
 
 def after(hits: DataFrame, cursor: str, key: str = "sort_key") -> DataFrame:

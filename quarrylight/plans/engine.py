@@ -29,14 +29,14 @@ class SearchEngine:
     embed: query text -> vector, for vector searches by text.  cross_modal: its
     vectors of texts and images can be compared.  text: an index of the chunks'
     words; vectors: one of their vectors.  Without them a search reads the chunk
-    table.
+    table.  reranker: (query, column of texts) -> column of scores.
     """
 
     #: Columns of chunks that only hits need.
     WIDE = ("text", "metadata", "media", "bbox", "embedding")
 
-    def __init__(self, chunks: DataFrame, embed=None, cross_modal: bool = False, text: TextIndex | None = None, vectors: ClusterIndex | None = None):
-        self.chunks, self.embed, self.cross_modal, self.text, self.vectors = complete(chunks), embed, cross_modal, text, vectors
+    def __init__(self, chunks: DataFrame, embed=None, cross_modal: bool = False, text: TextIndex | None = None, vectors: ClusterIndex | None = None, reranker=None):
+        self.chunks, self.embed, self.cross_modal, self.text, self.vectors, self.reranker = complete(chunks), embed, cross_modal, text, vectors, reranker
 
     @classmethod
     def create(cls, chunks: DataFrame, path: str, tokenizer: str = "default", clusters: int | None = None, **options) -> SearchEngine:
@@ -114,7 +114,7 @@ class SearchEngine:
         if r.auto_merge:
             hits = ranking.auto_merge(hits)
         if r.rerank:
-            hits = ranking.rerank(hits.drop("rerank"), r.query, r.rerank).withColumn("sort_key", F.col("rerank"))
+            hits = ranking.rerank(hits.drop("rerank"), r.query, r.rerank, self.reranker).withColumn("sort_key", F.col("rerank"))
         if r.collapse:
             hits = ranking.collapse(hits, r.collapse, r.max_per_group, "sort_key")
         if r.search_after:

@@ -9,16 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import media as M
 from .functions import vector as V
 from .functions.text import bigram_tokens, highlight, tokens
 from .model import GID, citation_id, complete, encode_cursor, parse_citation
-from .operators import evaluation, ranking
+from .operators import embedding, evaluation, ranking
 from .operators.text import TextIndex, keyword_search
 from .operators.vectors import ClusterIndex, CompressedIndex, binary_codes, knn, knn_batch, two_stage
 from .plans.engine import SearchEngine
 from .plans.filters import ROW_FIELDS, compile_filter, visible
 from .plans.request import Caller, SearchRequest
-from .sources import changes, ingest
+from .sources import changes, ingest, objects
 from .streaming import cdc, service
 
 KINDS_8 = ["heading", "paragraph", "table", "code", "list_item", "image", "audio", "video"]
@@ -586,6 +587,55 @@ def chunk_html(spark, sf_dir):
     return ingest.chunk_texts(pages, "html", "page_id", "html")
 
 
+# addresses and bytes
+
+@query("SELECT doc_id, url_encode(text) AS coded, base64(encode(text)) AS base64, sha256(text) AS digest FROM documents")
+def encoded_texts(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", M.percent_encode(t).alias("coded"), F.replace(F.base64(F.encode(t, "UTF-8")), F.lit("\r\n"), F.lit("")).alias("base64"), F.sha2(t, 256).alias("digest"))
+
+
+@query("SELECT page_id, strlen(html)::BIGINT AS n_bytes, sha256(html) AS digest FROM pages")
+def data_url_bytes(spark, sf_dir):
+    """Pages as data URLs, and back."""
+    urls = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("data:text/html;base64,"), F.base64(F.encode("html", "UTF-8"))).alias("url"))
+    data = M.data_bytes(F.col("url"))
+    return urls.select("page_id", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("digest"))
+
+
+@query("SELECT p_partkey, regexp_matches(replace(p_name, ' ', '_'), '^[A-Za-z_][A-Za-z0-9_]{0,62}$') AS joined, regexp_matches(p_name, '^[A-Za-z_][A-Za-z0-9_]{0,62}$') AS plain FROM part")
+def identifiers(spark, sf_dir):
+    n = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", M.is_identifier(F.replace(n, F.lit(" "), F.lit("_"))).alias("joined"), M.is_identifier(n).alias("plain"))
+
+
+@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: least(greatest(round((x + 1e0) * 1.275e2), 0e0), 2.55e2)::INT) AS codes FROM embeddings")
+def vector_codes(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", M.codes_u8(F.col("embedding")).alias("codes"))
+
+
+@query("SELECT page_id, 206 AS status, least(strlen(html), 100) - 10 AS size, substr(html, 11, 90) AS body FROM pages WHERE strlen(html) > 10 AND strlen(html) = length(html) UNION ALL SELECT page_id, 416, NULL, NULL FROM pages WHERE strlen(html) <= 10 AND strlen(html) = length(html)")
+def byte_ranges(spark, sf_dir):
+    """Bytes 10 to 99 of every ASCII page."""
+    pages = table(spark, sf_dir, "pages").where(F.octet_length("html") == F.length("html"))
+    return pages.select("page_id", M.byte_range(F.encode("html", "UTF-8"), F.lit("bytes=10-99")).alias("r")).select("page_id", "r.status", (F.col("r.stop") - F.col("r.start") + 1).alias("size"), F.decode("r.body", "UTF-8").alias("body"))
+
+
+@query(
+    """WITH u AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 's3://media/acme/' || source WHEN 1 THEN 'local://media/globex/' || source WHEN 2 THEN 's3://other/acme/x' WHEN 3 THEN 's3://media/acme/../x' ELSE 'ftp://media/acme/x' END AS uri FROM documents)
+SELECT doc_id, doc_id % 5 <= 2 AS valid, doc_id % 5 = 0 AS allowed FROM u"""
+)
+def object_uris(spark, sf_dir):
+    i = F.col("doc_id") % 5
+    uri = F.when(i == 0, F.concat(F.lit("s3://media/acme/"), "source")).when(i == 1, F.concat(F.lit("local://media/globex/"), "source")).when(i == 2, "s3://other/acme/x").when(i == 3, "s3://media/acme/../x").otherwise("ftp://media/acme/x")
+    return table(spark, sf_dir, "documents").select("doc_id", uri.alias("uri")).select("doc_id", objects.parse_uri(F.col("uri")).isNotNull().alias("valid"), objects.allowed(F.col("uri"), "media", "acme").alias("allowed"))
+
+
+@query(f"WITH {CHUNKS} SELECT citation_id, CASE WHEN searchable AND v IS NULL AND trim(text) <> '' THEN 'text' END AS embed_as, CASE WHEN kind = 'image' AND searchable AND v IS NULL THEN CASE WHEN trim(text) <> '' THEN 'text_fallback' ELSE 'missing_bytes' END END AS image_vector_status FROM chunks")
+def embed_routing(spark, sf_dir):
+    return embedding.route(chunk_view(spark, sf_dir, True), False).select(citation_id().alias("citation_id"), "embed_as", "image_vector_status")
+
+
 # change streams
 
 _EVENTS = """ev AS (SELECT event_id AS lsn, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'click' THEN 'delete_doc' ELSE 'upsert' END AS op,
