@@ -463,12 +463,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     groups = components(links)
     tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     large = checkpoint(tiles.where("tiles > 1"))
-    sets = item.join(of_set.select(F.col("set").alias("a"), "docs"), "a")
-    rows = _tiled(groups.join(large, "component", "left_anti").select("component", F.col("node").alias("a")), "component")
+    placed = groups.join(tiles, "component").select("component", F.col("node").alias("a"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    # the bodies of all sets move to their groups once; a group of one tile needs no other join
+    sets = checkpoint(item.join(of_set.select(F.col("set").alias("a"), "docs"), "a").join(placed, "a"))
+    tiled = sets.where("tiles = 1").select("component", F.lit(-1).alias("core"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "a", "size", "body", "docs")
     certain = None
     if not large.isEmpty():
-        placed = groups.join(large, "component").select("component", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-        big = checkpoint(sets.join(placed, "a"))
+        big = sets.where("tiles > 1").drop("tiles")
         near, own = _parted(big, large, threshold)
         core = big.select("component", "a", "docs").join(own, "a")
         sums = core.groupBy("component", "no").agg(F.sum("docs").alias("all"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("lefts"))
@@ -482,8 +483,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
         left = core.join(rights, ["component", "no"]).withColumn("i", cell("lefts")).withColumn("j", spread("rights")).withColumn("side", F.lit(0))
         right = others.join(rights, ["component", "no"]).join(sums, ["component", "no"]).withColumn("j", cell("rights")).withColumn("i", spread("lefts")).withColumn("side", F.lit(1))
         pick = lambda df: df.select("component", F.col("no").alias("core"), "i", "j", "side", "a")
-        rows = rows.unionByName(_tiled(big.join(own, "a", "left_anti").select("component", "a"), "component")).unionByName(pick(left)).unionByName(pick(right))
-    found = rows.join(sets, "a").groupBy("component", "core", "i", "j").applyInArrow(_compare(threshold), "kind int, a long, b long")
+        rows = _tiled(big.join(own, "a", "left_anti").select("component", "a"), "component").unionByName(pick(left)).unionByName(pick(right))
+        tiled = tiled.unionByName(rows.join(big.select("a", "size", "body", "docs"), "a"))
+    found = tiled.groupBy("component", "core", "i", "j").applyInArrow(_compare(threshold), "kind int, a long, b long")
     found = checkpoint(found if certain is None else found.unionByName(certain))
     degree = found.where("kind = 0").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("links"))
     joined = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "set")
