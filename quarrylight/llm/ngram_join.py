@@ -19,8 +19,10 @@ frequencies; tokens of one set only match nothing and end here -> back to
 their sets (shuffle 2, what is repeated only) -> signatures (shuffle 3) ->
 groups of sets connected by signatures, which hold every candidate pair ->
 each group's pairs verified at once, as a matrix product over its repeated
-tokens, which hold every intersection.  Large groups are parted first: Jaccard
-distance is a metric, so sets within half the greatest distance of a centre all
+tokens, which hold every intersection.  Frequent n-grams tie much of a corpus
+into one group, so in large groups a signature connects only sets that may
+reach the threshold by bit sketches of their tokens, which bound every overlap
+from above.  What is large even then is parted: Jaccard distance is a metric, so sets within half the greatest distance of a centre all
 link to each other and need no comparing, and only sets within one and a half
 of it can link to any of them.  A task returns the links of each of its
 sets as a number and the sets they connect as a forest, never pairs.  Rows
@@ -49,6 +51,8 @@ CLASSES = ((0.01, 256), (0.05, 1024))
 TOKEN_BITS = 42
 #: N-grams a task gathers before it packs them; bytes of text whose n-grams a reducer handles at once, and how many such pieces it has.
 FLUSH, BYTES_EACH, PIECES = 1_500_000, 18_000_000, 4
+#: Bits of a set's sketch; pairs of sketches compared at once; pairs of a signature above which its sets are connected without looking.
+SKETCH, AT_ONCE, CROWD = 1024, 100_000, 20_000_000
 #: Turns a document without words into a set of its own.
 _ALONE = np.uint64(0xA54FF53A5F1D36F1)
 
@@ -262,36 +266,63 @@ def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float, classes: tu
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sign(t: float, parts: int, classes: tuple[int, int]):
-    def flush(keys, sig) -> pa.RecordBatch:
+def sketch(tok: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by hash: two sets differ in at least as many tokens as their sketches in bits."""
+    return np.packbits(np.bincount((mix(tok) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1)
+
+
+def _sign(t: float, parts: int, classes: tuple[int, int], sketches: bool = False):
+    """(signature, set) by signature; on request with size, number of repeated tokens and sketch of the sets."""
+
+    def flush(held, about) -> pa.RecordBatch:
+        keys = np.concatenate(held)
+        at = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        a, size, rep = (np.array(x, k) for x, k in zip(list(zip(*about))[:3], (np.int64, np.uint32, np.uint32)))
         part = (keys % np.uint64(parts)).astype(np.int64)
         o = np.lexsort((keys, part))
-        keys, sig, part = keys[o], sig[o], part[o]
+        keys, at, part = keys[o], at[o], part[o]
         b = _bounds(part)
-        return _batch(_SMALL, [(int(part[s]), 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), sig[s:e]), None) for s, e in zip(b[:-1], b[1:])])
+        rows = []
+        for s, e in zip(b[:-1], b[1:]):
+            sets = None
+            if sketches:
+                x = np.unique(at[s:e])
+                sets = pack(a[x], size[x], rep[x], np.stack([about[k][3] for k in x]))
+            rows.append((int(part[s]), 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), a[at[s:e]]), sets))
+        return _batch(_SMALL, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, about, count = [], [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
                 for a, size, body in zip(*(batch.column(c).to_pylist() for c in ("a", "size", "body"))):
                     delta, df = unpack(body, np.uint64, np.uint32)
-                    keys = signatures(np.cumsum(delta, dtype=np.uint64), df, size, t, classes)
+                    tok = np.cumsum(delta, dtype=np.uint64)
+                    keys = signatures(tok, df, size, t, classes)
                     if len(keys):
-                        held.append((keys, np.full(len(keys), a).view(np.uint64)))
+                        held.append(keys)
+                        about.append((a, size, len(tok), sketch(tok) if sketches else None))
                         count += len(keys)
                     if count > FLUSH:
-                        yield flush(*map(np.concatenate, zip(*held)))
-                        held, count = [], 0
+                        yield flush(held, about)
+                        held, about, count = [], [], 0
         if held:
-            yield flush(*map(np.concatenate, zip(*held)))
+            yield flush(held, about)
 
     return run
 
 
+def _forest(own: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each set with the least one it is connected to."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    moved = np.flatnonzero(label != np.arange(len(own)))
+    for s in range(0, len(moved), 50_000):
+        x = moved[s : s + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(own[label[x]])], schema=schema)
+
+
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that share a signature, as a forest: each with the least set it is linked to here."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held = []
     for batch in batches:
         for body in batch.column("body").to_pylist():
@@ -306,11 +337,85 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     b = _bounds(keys)
     head = at[np.repeat(b[:-1], np.diff(b))]
     edge = np.unique(head[head != at] * len(own) + at[head != at])
-    label = local_components(len(own), edge // len(own), edge % len(own))
-    moved = np.flatnonzero(label != np.arange(len(own)))
-    for s in range(0, len(moved), 50_000):
-        x = moved[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(own[label[x]])], schema=schema)
+    yield from _forest(own, local_components(len(own), edge // len(own), edge % len(own)))
+
+
+def similar_groups(keys: np.ndarray, at: np.ndarray, size: np.ndarray, rep: np.ndarray, bits: np.ndarray, t: float) -> np.ndarray:
+    """The least set that each set is connected to, where sets that share a key connect if their sketches allow the threshold.
+
+    Row by row set at[k] has keys[k]; a set has ``size`` tokens, ``rep`` repeated
+    ones and the sketch ``bits``.  No pair that reaches the threshold and shares
+    a key is left apart; sets too far from each other may be connected.
+    """
+    n = len(size)
+    size, rep = size.astype(np.int64), rep.astype(np.int64)
+
+    def allowed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = np.unique(np.minimum(x, y) * n + np.maximum(x, y))
+        x, y = code // n, code % n
+        ok = np.zeros(len(x), bool)
+        for s in range(0, len(x), AT_ONCE):
+            i, j = x[s : s + AT_ONCE], y[s : s + AT_ONCE]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            most = np.minimum((rep[i] + rep[j] - apart) / 2, np.minimum(rep[i], rep[j]))
+            ok[s : s + AT_ONCE] = most >= (t - 1e-9) * (size[i] + size[j] - most)
+        return x[ok], y[ok]
+
+    # the first of a key with the others, and neighbours by size: that places most of a group of near copies
+    o = np.lexsort((at, size[at], keys))
+    keys, at = keys[o], at[o]
+    b = _bounds(keys)
+    same = np.flatnonzero(keys[1:] == keys[:-1])
+    label = local_components(n, *allowed(np.concatenate([np.repeat(at[b[:-1]], np.diff(b)), at[same]]), np.concatenate([at, at[same + 1]])))
+    # then every pair of a key that is still apart
+    o = np.lexsort((label[at], keys))
+    keys, at = keys[o], at[o]
+    b = _bounds(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (label[at[1:]] != label[at[:-1]])
+    r = np.append(np.flatnonzero(new), len(keys))
+    after = np.repeat(r[1:], np.diff(r))
+    pairs = np.repeat(b[1:], np.diff(b)) - after
+    crowd = np.repeat(np.add.reduceat(pairs, b[:-1]) > CROWD, np.diff(b))
+    if crowd.any():
+        label = local_components(n, np.concatenate([np.arange(n), np.repeat(at[b[:-1]], np.diff(b))[crowd]]), np.concatenate([label, at[crowd]]))
+        pairs[crowd] = 0
+    rows = np.flatnonzero(pairs)
+    ends = np.cumsum(pairs[rows])
+    s = 0
+    while s < len(rows):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 20 * AT_ONCE, "right")))
+        count = pairs[rows[s:e]]
+        i = np.repeat(rows[s:e], count)
+        x, y = at[i], at[after[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
+        least = np.minimum(rep[x], rep[y])
+        live = (label[x] != label[y]) & (least >= (t - 1e-9) * (size[x] + size[y] - least))
+        x, y = allowed(x[live], y[live])
+        if len(x):
+            label = local_components(n, np.concatenate([np.arange(n), x]), np.concatenate([label, y]))
+        s = e
+    return label
+
+
+def _link_similar(t: float):
+    """As _link, but only sets whose sketches allow the threshold are connected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, about = [], []
+        for batch in batches:
+            for body, sets in zip(batch.column("body").to_pylist(), batch.column("sets").to_pylist()):
+                delta, a = unpack(body, np.uint64, np.int64)
+                held.append((np.cumsum(delta, dtype=np.uint64), a))
+                about.append(unpack(sets, np.int64, np.uint32, np.uint32, np.dtype(f"V{SKETCH // 8}")))
+        if not held:
+            return
+        keys, a = map(np.concatenate, zip(*held))
+        own, size, rep, bits = map(np.concatenate, zip(*about))
+        own, first = np.unique(own, return_index=True)
+        bits = bits[first].view(np.uint64).reshape(len(own), -1)
+        yield from _forest(own, similar_groups(keys, np.searchsorted(own, a), size[first], rep[first], bits, t))
+
+    return run
 
 
 #: Sets of one tile: larger groups of candidates are compared tile by tile, on as many tasks.
@@ -459,8 +564,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     classes = tuple(max(int(share * total), least) for share, least in CLASSES)
     links = item.mapInArrow(_sign(threshold, some, classes), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
     groups = components(links)
-    tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiles_of = lambda groups: groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiles = tiles_of(groups)
     large = checkpoint(tiles.where("tiles > 1"))
+    if not large.isEmpty():
+        loose = item.join(groups.join(large, "component").select(F.col("node").alias("a")), "a")
+        links = loose.mapInArrow(_sign(threshold, some, classes, True), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link_similar(threshold), "a long, b long")
+        groups = groups.join(large, "component", "left_anti").unionByName(components(links))
+        tiles = tiles_of(groups)
+        large = checkpoint(tiles.where("tiles > 1"))
     placed = groups.join(tiles, "component").select("component", F.col("node").alias("a"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     # the bodies of all sets move to their groups once; a group of one tile needs no other join
     sets = checkpoint(item.join(of_set.select(F.col("set").alias("a"), "docs"), "a").join(placed, "a"))

@@ -110,6 +110,38 @@ def test_ngram_join_parts_large_groups(spark, monkeypatch, seed):
     assert got == classes_by_brute_force(rows)
 
 
+def test_ngram_join_parts_groups_that_only_signatures_hold_together(spark, monkeypatch):
+    """Documents that share a few rare passages with others, but link to none of them, aren't compared tile by tile."""
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "_tiled", lambda *_: pytest.fail("compared tile by tile"))
+    r = random.Random(3)
+    shared = [" ".join(f"s{k}_{x}" for x in range(5)) for k in range(20)]
+    rows = [(i, " ".join(f"{p} u{i}" for p in r.sample(shared, 5))) for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} more") for i in range(3)]
+    want = classes_by_brute_force(rows)
+    assert sum(n > 0 for _, n in want.values()) < 12
+    assert {x.doc_id: (x.class_id, x.n_links) for x in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [20_000_000, 30])
+def test_sketches_lose_no_pair(monkeypatch, crowd):
+    """Sets that reach the threshold and share a key stay together; many that don't are parted."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 7)
+    r = np.random.default_rng(crowd)
+    bases = [r.integers(0, 1 << 62, size=k).astype(np.uint64) for k in (12, 30, 300, 3000)]
+    sets = [np.unique(np.concatenate([b[r.random(len(b)) < r.choice([0.6, 0.8, 0.95])], r.integers(0, 1 << 62, size=3).astype(np.uint64)])) for b in bases for _ in range(25)]
+    size = np.array([len(x) + r.integers(0, 3) for x in sets])
+    keys, at = r.integers(0, 6, size=400).astype(np.uint64), r.integers(0, 100, size=400)
+    bits = np.stack([ngram_join.sketch(x) for x in sets]).view(np.uint64)
+    label = ngram_join.similar_groups(keys, at, size, np.array([len(x) for x in sets]), bits, 0.5)
+    for i, j in itertools.combinations(range(100), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if both >= 0.5 * (size[i] + size[j] - both) and set(keys[at == i]) & set(keys[at == j]):
+            assert label[i] == label[j]
+    assert crowd < 100 or len(np.unique(label)) >= 4
+
+
 def test_signatures_are_complete():
     """Sets that reach the threshold share a signature, whatever the classes."""
     r = np.random.default_rng(0)
