@@ -123,6 +123,21 @@ def test_ngram_join_parts_groups_that_only_signatures_hold_together(spark, monke
     assert {x.doc_id: (x.class_id, x.n_links) for x in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_pipeline_parts_groups_that_only_signatures_hold_together(spark, monkeypatch):
+    """The stage for near duplicates doesn't compare them tile by tile either, and drops near copies only."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "_tiled", lambda *_: pytest.fail("compared tile by tile"))
+    r = random.Random(4)
+    shared = [" ".join(f"s{k}_{x}" for x in range(5)) for k in range(20)]
+    rows = [(i, " ".join(f"{p} u{i}" for p in r.sample(shared, 5))) for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} more") for i in range(3)]
+    want = {i for i, (least, _) in classes_by_brute_force(rows).items() if least == i}
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {x.doc_id for x in kept} == want and 45 < len(want) <= 60
+
+
 @pytest.mark.parametrize("crowd", [20_000_000, 30])
 def test_sketches_lose_no_pair(monkeypatch, crowd):
     """Sets that reach the threshold and share a key stay together; many that don't are parted."""
