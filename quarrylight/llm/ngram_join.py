@@ -16,7 +16,8 @@ that every possible pair meets in one of them.
 
 Plan: documents -> packed (token, set) by token range (shuffle 1) -> document
 frequencies; tokens of one set only match nothing and end here -> back to
-their sets (shuffle 2, what is repeated only) -> signatures (shuffle 3) ->
+their sets (shuffle 2, what is repeated only), of which those with fewer than
+a repeated tokens end here, as no partner overlaps them enough -> signatures (shuffle 3) ->
 groups of sets connected by signatures, which hold every candidate pair ->
 each group's pairs verified at once, as a matrix product over its repeated
 tokens, which hold every intersection.  Frequent n-grams tie much of a corpus
@@ -51,7 +52,7 @@ CLASSES = ((0.01, 256), (0.05, 1024))
 TOKEN_BITS = 42
 #: N-grams a task gathers before it packs them; bytes of text whose n-grams a reducer handles at once, and how many such pieces it has.
 FLUSH, BYTES_EACH, PIECES = 1_500_000, 18_000_000, 4
-#: Bits of a set's sketch; pairs of sketches compared at once; pairs of a signature above which its sets are connected without looking.
+#: Bits of a set's sketch; pairs of such sketches compared at once; pairs of a signature above which its sets are connected without looking.
 SKETCH, AT_ONCE, CROWD = 1024, 100_000, 20_000_000
 #: Turns a document without words into a set of its own.
 _ALONE = np.uint64(0xA54FF53A5F1D36F1)
@@ -107,19 +108,22 @@ def _spread(n: int, parts: int, subs: int):
         with np.errstate(over="ignore"):
             np.add.at(total, gd, mix(g))
             sig = mix(total + size)
+        order = np.argsort(sig)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         rows = []
         edges = np.array([(k << 64) // (parts * subs) for k in range(parts * subs)], np.uint64)
         b = np.append(np.searchsorted(g, edges), len(g))
         for part in range(parts):
             s, e = b[part * subs], b[(part + 1) * subs]
             if e > s:
-                own, at = np.unique(gd[s:e], return_inverse=True)
+                own, at = np.unique(rank[gd[s:e]], return_inverse=True)
                 at = at.astype(np.uint16 if len(own) < 65536 else np.uint32)
                 bodies = []
                 for k in range(part * subs, (part + 1) * subs):
                     x = g[b[k] : b[k + 1]] >> np.uint64(max(0, 64 - TOKEN_BITS - (parts * subs).bit_length()))
                     bodies.append(pack(np.diff(x, prepend=np.uint64(0)), at[b[k] - s : b[k + 1] - s]))
-                rows.append((part, 0, np.array([len(x) for x in bodies], np.int64).tobytes() + b"".join(bodies), sig[own].tobytes()))
+                rows.append((part, 0, np.array([len(x) for x in bodies], np.int64).tobytes() + b"".join(bodies), pack(np.diff(sig[order[own]], prepend=np.uint64(0)))))
         own, at = np.unique(sig[size > 0], return_index=True)
         of = size[size > 0][at]
         home = (own % np.uint64(parts)).astype(np.int64)
@@ -165,16 +169,20 @@ def _count(parts: int, subs: int):
                 else:
                     part = p
                     size = np.frombuffer(body[: 8 * subs], np.int64)
-                    held.append((body, 8 * subs + np.cumsum(size) - size, size, np.frombuffer(sets, np.uint64)))
+                    held.append((body, 8 * subs + np.cumsum(size) - size, size, np.cumsum(unpack(sets, np.uint64)[0], dtype=np.uint64)))
+        found = []
         for k in range(subs if held else 0):
             low, sig = [], []
             for body, at, size, own in held:
                 delta, of = unpack(body[at[k] : at[k] + size[k]], np.uint64, np.uint16 if len(own) < 65536 else np.uint32)
                 low.append(np.cumsum(delta, dtype=np.uint64))
                 sig.append(own[of])
-            yield from repeated(part * subs + k, np.concatenate(low), np.concatenate(sig))
+            found.append(repeated(part * subs + k, np.concatenate(low), np.concatenate(sig)))
+        if found:
+            held.clear()
+            yield from to_sets(*map(np.concatenate, zip(*found)))
 
-    def repeated(fine: int, low: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def repeated(fine: int, low: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         o = np.argsort(low, kind="stable")
         low, sig = low[o], sig[o]
         b = _bounds(low)
@@ -190,7 +198,10 @@ def _count(parts: int, subs: int):
         tok = np.uint64(fine << 32) + np.repeat(np.arange(len(df), dtype=np.uint64), df)
         df = np.repeat(df, df)
         keep = df > 1
-        tok, sig, df = tok[keep], sig[keep], df[keep].astype(np.uint32)
+        return tok[keep], sig[keep], df[keep].astype(np.uint32)
+
+    def to_sets(tok: np.ndarray, sig: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # all pieces together: a set is named once for all its tokens of this range
         home = (sig % np.uint64(parts)).astype(np.int64)
         o = np.lexsort((tok, sig, home))
         tok, sig, df, home = tok[o], sig[o], df[o], home[o]
@@ -201,35 +212,40 @@ def _count(parts: int, subs: int):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a set (a) with its size and repeated tokens; kind 2: packed sets and ids, as they came."""
-    tok, mine = [], []
-    for batch in batches:
-        for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist()):
-            if kind == 2:
-                yield _batch(_ITEM, [(2, 0, 0, body)])
-            elif kind == 1:
-                mine.append(unpack(body, np.uint64, np.uint32))
-            else:
-                delta, t, df = unpack(body, np.uint64, np.uint64, np.uint32)
-                tok.append((np.cumsum(delta, dtype=np.uint64), t, df))
-    if not mine or not tok:
-        return
-    sig, size = map(np.concatenate, zip(*mine))
-    sig, first = np.unique(sig, return_index=True)
-    size = size[first]
-    ts, t, df = map(np.concatenate, zip(*tok))
-    o = np.lexsort((t, ts))
-    ts, t, df = ts[o], t[o], df[o]
-    rows = []
-    for x, n, s, e in zip(sig, size, np.searchsorted(ts, sig), np.searchsorted(ts, sig, "right")):
-        if e > s:
-            rows.append((0, int(x.view(np.int64)), int(n), pack(np.diff(t[s:e], prepend=np.uint64(0)), df[s:e])))
-            if len(rows) == 2000:
-                yield _batch(_ITEM, rows)
-                rows = []
-    if rows:
-        yield _batch(_ITEM, rows)
+def _gather(t: float):
+    """Kind 0: a set (a) with its size and repeated tokens, or no body where those are too few for any partner; kind 2: packed sets and ids, as they came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mine = [], []
+        for batch in batches:
+            for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist()):
+                if kind == 2:
+                    yield _batch(_ITEM, [(2, 0, 0, body)])
+                elif kind == 1:
+                    mine.append(unpack(body, np.uint64, np.uint32))
+                else:
+                    delta, tok, df = unpack(body, np.uint64, np.uint64, np.uint32)
+                    held.append((np.cumsum(delta, dtype=np.uint64), tok, df))
+        if not mine or not held:
+            return
+        sig, size = map(np.concatenate, zip(*mine))
+        sig, first = np.unique(sig, return_index=True)
+        size = size[first]
+        ts, tok, df = map(np.concatenate, zip(*held))
+        o = np.lexsort((tok, ts))
+        ts, tok, df = ts[o], tok[o], df[o]
+        rows = []
+        for x, n, s, e in zip(sig, size, np.searchsorted(ts, sig), np.searchsorted(ts, sig, "right")):
+            if e > s:
+                able = e - s >= math.ceil(t * int(n) - 1e-9)
+                rows.append((0, int(x.view(np.int64)), int(n), pack(np.diff(tok[s:e], prepend=np.uint64(0)), df[s:e]) if able else b""))
+                if len(rows) == 2000:
+                    yield _batch(_ITEM, rows)
+                    rows = []
+        if rows:
+            yield _batch(_ITEM, rows)
+
+    return run
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +282,13 @@ def signatures(tok: np.ndarray, df: np.ndarray, size: int, t: float, classes: tu
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(tok: np.ndarray) -> np.ndarray:
+def sketch(tok: np.ndarray, bits: int = SKETCH) -> np.ndarray:
     """Parities of the tokens by hash: two sets differ in at least as many tokens as their sketches in bits."""
-    return np.packbits(np.bincount((mix(tok) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1)
+    return np.packbits(np.bincount((mix(tok) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
 
 
-def _sign(t: float, parts: int, classes: tuple[int, int], sketches: bool = False):
-    """(signature, set) by signature; on request with size, number of repeated tokens and sketch of the sets."""
+def _sign(t: float, parts: int, classes: tuple[int, int], sketches: int = 0):
+    """(signature, set) by signature; on request with size, number of repeated tokens and sketch, of so many bits, of the sets."""
 
     def flush(held, about) -> pa.RecordBatch:
         keys = np.concatenate(held)
@@ -301,7 +317,7 @@ def _sign(t: float, parts: int, classes: tuple[int, int], sketches: bool = False
                     keys = signatures(tok, df, size, t, classes)
                     if len(keys):
                         held.append(keys)
-                        about.append((a, size, len(tok), sketch(tok) if sketches else None))
+                        about.append((a, size, len(tok), sketch(tok, sketches) if sketches else None))
                         count += len(keys)
                     if count > FLUSH:
                         yield flush(held, about)
@@ -349,16 +365,17 @@ def similar_groups(keys: np.ndarray, at: np.ndarray, size: np.ndarray, rep: np.n
     """
     n = len(size)
     size, rep = size.astype(np.int64), rep.astype(np.int64)
+    step = max(1, AT_ONCE * SKETCH // (64 * bits.shape[1]))
 
     def allowed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         code = np.unique(np.minimum(x, y) * n + np.maximum(x, y))
         x, y = code // n, code % n
         ok = np.zeros(len(x), bool)
-        for s in range(0, len(x), AT_ONCE):
-            i, j = x[s : s + AT_ONCE], y[s : s + AT_ONCE]
+        for s in range(0, len(x), step):
+            i, j = x[s : s + step], y[s : s + step]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             most = np.minimum((rep[i] + rep[j] - apart) / 2, np.minimum(rep[i], rep[j]))
-            ok[s : s + AT_ONCE] = most >= (t - 1e-9) * (size[i] + size[j] - most)
+            ok[s : s + step] = most >= (t - 1e-9) * (size[i] + size[j] - most)
         return x[ok], y[ok]
 
     # the first of a key with the others, and neighbours by size: that places most of a group of near copies
@@ -397,7 +414,7 @@ def similar_groups(keys: np.ndarray, at: np.ndarray, size: np.ndarray, rep: np.n
     return label
 
 
-def _link_similar(t: float):
+def _link_similar(t: float, width: int):
     """As _link, but only sets whose sketches allow the threshold are connected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +423,7 @@ def _link_similar(t: float):
             for body, sets in zip(batch.column("body").to_pylist(), batch.column("sets").to_pylist()):
                 delta, a = unpack(body, np.uint64, np.int64)
                 held.append((np.cumsum(delta, dtype=np.uint64), a))
-                about.append(unpack(sets, np.int64, np.uint32, np.uint32, np.dtype(f"V{SKETCH // 8}")))
+                about.append(unpack(sets, np.int64, np.uint32, np.uint32, np.dtype(f"V{width // 8}")))
         if not held:
             return
         keys, a = map(np.concatenate, zip(*held))
@@ -553,29 +570,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     size = text_bytes(own, "text")
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // (PIECES * BYTES_EACH)))
     subs = max(1, -(-size // (parts * BYTES_EACH)))
-    spread = own.mapInArrow(_spread(n, parts, subs), _ROWS).repartitionById(parts, F.col("part"))
-    sets = spread.mapInArrow(_count(parts, subs), _ROWS).repartitionById(parts, F.col("part"))
-    items = checkpoint(sets.mapInArrow(_gather, "kind int, a long, size int, body binary"))
+    counted = own.mapInArrow(_spread(n, parts, subs), _ROWS).repartitionById(parts, F.col("part")).mapInArrow(_count(parts, subs), _ROWS)
+    items = checkpoint(counted.repartitionById(parts, F.col("part")).mapInArrow(_gather(threshold), "kind int, a long, size int, body binary"))
+    del counted  # or its shuffles stay on disk to the end
     members = items.where("kind = 2").mapInArrow(_members, "set long, id long").distinct()
     of_set = members.groupBy("set").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("docs"))
     item = items.where("kind = 0").select("a", "size", "body")
     some = max(2 * spark.sparkContext.defaultParallelism, -(-size // (4 * BYTES_EACH)))
     total = item.count()
     classes = tuple(max(int(share * total), least) for share, least in CLASSES)
+    item = item.where("length(body) > 0")
     links = item.mapInArrow(_sign(threshold, some, classes), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link, "a long, b long")
-    groups = components(links)
-    tiles_of = lambda groups: groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    tiles = tiles_of(groups)
-    large = checkpoint(tiles.where("tiles > 1"))
-    if not large.isEmpty():
-        loose = item.join(groups.join(large, "component").select(F.col("node").alias("a")), "a")
-        links = loose.mapInArrow(_sign(threshold, some, classes, True), _ROWS).repartitionById(some, F.col("part")).mapInArrow(_link_similar(threshold), "a long, b long")
-        groups = groups.join(large, "component", "left_anti").unionByName(components(links))
-        tiles = tiles_of(groups)
-        large = checkpoint(tiles.where("tiles > 1"))
-    placed = groups.join(tiles, "component").select("component", F.col("node").alias("a"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-    # the bodies of all sets move to their groups once; a group of one tile needs no other join
-    sets = checkpoint(item.join(of_set.select(F.col("set").alias("a"), "docs"), "a").join(placed, "a"))
+    groups = components(links).select("component", F.col("node").alias("a"))
+    # the bodies of all sets move to their groups once, later only those of large groups
+    sets = checkpoint(item.join(of_set.select(F.col("set").alias("a"), "docs"), "a").join(groups, "a"))
+    tiles_of = lambda sets: checkpoint(sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.sum("size").alias("tokens"), F.max("size").alias("most")).where("tiles > 1"))
+    large = tiles_of(sets)
+    for width, least, parts in ((SKETCH, 0, some),):
+        again = large.where(F.col("most") > least)
+        tokens = again.agg(F.sum("tokens")).first()[0]
+        if tokens is None:
+            continue
+        again = F.broadcast(again.select("component"))  # a row for each TILE sets at most
+        loose = sets.join(again, "component", "left_semi").select("a", "size", "body", "docs")
+        links = loose.mapInArrow(_sign(threshold, parts, classes, width), _ROWS).repartitionById(parts, F.col("part")).mapInArrow(_link_similar(threshold, width), "a long, b long")
+        groups = components(links).select("component", F.col("node").alias("a"))
+        sets = checkpoint(sets.join(again, "component", "left_anti").unionByName(loose.join(groups, "a")))
+        large = tiles_of(sets)
+    large = large.select("component", "tiles")
+    sets = sets.join(F.broadcast(large), "component", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int"))
     tiled = sets.where("tiles = 1").select("component", F.lit(-1).alias("core"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "a", "size", "body", "docs")
     certain = None
     if not large.isEmpty():

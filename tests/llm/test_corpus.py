@@ -138,6 +138,18 @@ def test_pipeline_parts_groups_that_only_signatures_hold_together(spark, monkeyp
     assert {x.doc_id for x in kept} == want and 45 < len(want) <= 60
 
 
+def test_ngram_join_moves_only_what_can_link():
+    """A range names a set once for all its pieces, and only sets with enough repeated tokens for a partner have a body."""
+    r = random.Random(6)
+    rows = [(i, " ".join([f"u{i}_{x}" for x in range(40)] + ["a", "b", "c", "d"] * r.randint(1, 3))) for i in range(40)]
+    rows += [(100 + i, f"{rows[i][1]} more") for i in range(5)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+    counted = list(ngram_join._count(1, 4)(ngram_join._spread(3, 1, 4)(iter([batch]))))
+    assert sum(k == 0 for b in counted for k in b.column("kind").to_pylist()) == 1
+    items = [x for b in ngram_join._gather(0.5)(iter(counted)) for x in b.to_pylist() if x["kind"] == 0]
+    assert len(items) == 45 and sum(len(x["body"]) > 0 for x in items) == 10
+
+
 @pytest.mark.parametrize("crowd", [20_000_000, 30])
 def test_sketches_lose_no_pair(monkeypatch, crowd):
     """Sets that reach the threshold and share a key stay together; many that don't are parted."""
