@@ -168,21 +168,32 @@ def _count(parts: int, subs: int):
                     yield _batch(_SMALL, [(p, kind, body, sets)])
                 else:
                     part = p
-                    size = np.frombuffer(body[: 8 * subs], np.int64)
-                    held.append((body, 8 * subs + np.cumsum(size) - size, size, np.cumsum(unpack(sets, np.uint64)[0], dtype=np.uint64)))
+                    ends = 8 * subs + np.cumsum(np.frombuffer(body[: 8 * subs], np.int64))
+                    held.append(([body[s:e] for s, e in zip([8 * subs, *ends[:-1]], ends)], sets))
         found = []
         for k in range(subs if held else 0):
             low, sig = [], []
-            for body, at, size, own in held:
-                delta, of = unpack(body[at[k] : at[k] + size[k]], np.uint64, np.uint16 if len(own) < 65536 else np.uint32)
+            for bodies, sets in held:
+                own = np.cumsum(unpack(sets, np.uint64)[0], dtype=np.uint64)
+                delta, of = unpack(bodies[k], np.uint64, np.uint16 if len(own) < 65536 else np.uint32)
+                bodies[k] = None  # what is found takes its place in memory
                 low.append(np.cumsum(delta, dtype=np.uint64))
                 sig.append(own[of])
-            found.append(repeated(part * subs + k, np.concatenate(low), np.concatenate(sig)))
-        if found:
-            held.clear()
-            yield from to_sets(*map(np.concatenate, zip(*found)))
-
-    def repeated(fine: int, low: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            low, sig = np.concatenate(low), np.concatenate(sig)
+            found.append(repeated(low, sig))
+        for home in range(parts if found else 0):  # a set is named once for all pieces of the range
+            rows = []
+            for k, bodies in enumerate(found):
+                if bodies[home]:
+                    delta, tok, df = unpack(bodies[home], np.uint64, np.uint32, np.uint32)
+                    rows.append((np.cumsum(delta, dtype=np.uint64), tok + np.uint64((part * subs + k) << 32), df))
+            if rows:
+                sig, tok, df = map(np.concatenate, zip(*rows))
+                o = np.lexsort((tok, sig))
+                yield _batch(_SMALL, [(home, 0, pack(np.diff(sig[o], prepend=np.uint64(0)), tok[o], df[o]), b"")])
+
+    def repeated(low: np.ndarray, sig: np.ndarray) -> list[bytes]:
+        """For each home of sets: sets, tokens by their number in the piece, frequencies; packed, to take little memory until all pieces are read."""
         o = np.argsort(low, kind="stable")
         low, sig = low[o], sig[o]
         b = _bounds(low)
@@ -195,19 +206,15 @@ def _count(parts: int, subs: int):
         low, sig = low[new], sig[new]
         b = _bounds(low)
         df = np.diff(b)
-        tok = np.uint64(fine << 32) + np.repeat(np.arange(len(df), dtype=np.uint64), df)
+        tok = np.repeat(np.arange(len(df), dtype=np.uint32), df)
         df = np.repeat(df, df)
         keep = df > 1
-        return tok[keep], sig[keep], df[keep].astype(np.uint32)
-
-    def to_sets(tok: np.ndarray, sig: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # all pieces together: a set is named once for all its tokens of this range
+        tok, sig, df = tok[keep], sig[keep], df[keep].astype(np.uint32)
         home = (sig % np.uint64(parts)).astype(np.int64)
-        o = np.lexsort((tok, sig, home))
-        tok, sig, df, home = tok[o], sig[o], df[o], home[o]
-        b = _bounds(home)
-        for s, e in zip(b[:-1], b[1:]):
-            yield _batch(_SMALL, [(int(home[s]), 0, pack(np.diff(sig[s:e], prepend=np.uint64(0)), tok[s:e], df[s:e]), b"")])
+        o = np.lexsort((sig, home))
+        tok, sig, df = tok[o], sig[o], df[o]
+        b = np.searchsorted(home[o], np.arange(parts + 1))
+        return [pack(np.diff(sig[s:e], prepend=np.uint64(0)), tok[s:e], df[s:e]) if e > s else b"" for s, e in zip(b[:-1], b[1:])]
 
     return run
 
