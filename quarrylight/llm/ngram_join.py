@@ -23,7 +23,8 @@ each group's pairs verified at once, as a matrix product over its repeated
 tokens, which hold every intersection.  Frequent n-grams tie much of a corpus
 into one group, so in large groups a signature connects only sets that may
 reach the threshold by bit sketches of their tokens, which bound every overlap
-from above.  What is large even then is parted: Jaccard distance is a metric, so sets within half the greatest distance of a centre all
+from above; what that leaves large is signed again with wider sketches where
+its sets have too many tokens for the first.  What is large even then is parted: Jaccard distance is a metric, so sets within half the greatest distance of a centre all
 link to each other and need no comparing, and only sets within one and a half
 of it can link to any of them.  A task returns the links of each of its
 sets as a number and the sets they connect as a forest, never pairs.  Rows
@@ -54,6 +55,8 @@ TOKEN_BITS = 42
 FLUSH, BYTES_EACH, PIECES = 1_500_000, 18_000_000, 4
 #: Bits of a set's sketch; pairs of such sketches compared at once; pairs of a signature above which its sets are connected without looking.
 SKETCH, AT_ONCE, CROWD = 1024, 100_000, 20_000_000
+#: Bits of the sketch of sets in groups that SKETCH leaves large, because it is full for sets of about as many tokens; tokens of such sets for each partition.
+WIDE, WIDE_EACH = 8192, 8_000_000
 #: Turns a document without words into a set of its own.
 _ALONE = np.uint64(0xA54FF53A5F1D36F1)
 
@@ -593,11 +596,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, id_c
     sets = checkpoint(item.join(of_set.select(F.col("set").alias("a"), "docs"), "a").join(groups, "a"))
     tiles_of = lambda sets: checkpoint(sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.sum("size").alias("tokens"), F.max("size").alias("most")).where("tiles > 1"))
     large = tiles_of(sets)
-    for width, least, parts in ((SKETCH, 0, some),):
+    for width, least, parts in ((SKETCH, 0, some), (WIDE, SKETCH // 2, 0)):
         again = large.where(F.col("most") > least)
         tokens = again.agg(F.sum("tokens")).first()[0]
         if tokens is None:
             continue
+        parts = parts or max(2 * spark.sparkContext.defaultParallelism, -(-tokens // WIDE_EACH))
         again = F.broadcast(again.select("component"))  # a row for each TILE sets at most
         loose = sets.join(again, "component", "left_semi").select("a", "size", "body", "docs")
         links = loose.mapInArrow(_sign(threshold, parts, classes, width), _ROWS).repartitionById(parts, F.col("part")).mapInArrow(_link_similar(threshold, width), "a long, b long")

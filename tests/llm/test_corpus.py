@@ -150,6 +150,23 @@ def test_ngram_join_moves_only_what_can_link():
     assert len(items) == 45 and sum(len(x["body"]) > 0 for x in items) == 10
 
 
+def test_near_duplicates_parts_groups_of_long_texts(spark, monkeypatch):
+    """Texts of more words than a short sketch has bits, which share passages but don't link, aren't compared tile by tile."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "_tiled", lambda *_: pytest.fail("compared tile by tile"))
+    r = random.Random(5)
+    shared = [" ".join(f"s{k}_{x}" for x in range(50)) for k in range(90)]
+    rows = [(i, " ".join(f"{p} u{i}" for p in r.sample(shared, 30))) for i in range(30)]
+    rows += [(100 + i, f"{rows[i][1]} more") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_by_brute_force(rows)
+    assert sum(n > 0 for _, n in want.values()) == 6
+    assert {x.doc_id: (x.class_id, x.n_links) for x in ngram_jaccard_join(df).collect()} == want
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(range(30))
+
+
 @pytest.mark.parametrize("crowd", [20_000_000, 30])
 def test_sketches_lose_no_pair(monkeypatch, crowd):
     """Sets that reach the threshold and share a key stay together; many that don't are parted."""
