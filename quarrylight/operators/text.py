@@ -3,15 +3,19 @@
 Two plans with the same scores.  ``keyword_search`` scans the chunks: one
 aggregate for document frequencies and mean lengths, then scores as column
 arithmetic, for tables without an index.  ``TextIndex`` is a postings table,
-built once and kept sorted by term, of which a query reads its own words.
+built once and kept in runs sorted by term, of which a query reads its own words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -265,6 +269,59 @@ def _within(places: list[Column], slop: int) -> Column:
     return F.coalesce(F.exists(places[0], lambda s: F.coalesce(last(s) - s - (len(places) - 1) <= slop, F.lit(False))), F.lit(False))
 
 
+POSTINGS = "term string, field string, collection string, doc_id string, chunk_id long, tf int, dl int, positions array<int>"
+#: Tokens of the chunks whose postings are sorted together.
+RUN = 2_000_000
+
+
+def _run(chunks: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The postings of some chunks, of each field sorted by term and chunk."""
+    for f in FIELDS:
+        lists = chunks[f"{f}_tokens"].combine_chunks()
+        dl, words = pc.list_value_length(lists), lists.flatten()
+        size = dl.to_numpy()
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        pos = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        coded = words.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = np.sort(rank[coded.indices.to_numpy()] << 32 | np.arange(len(row)))
+        at, term = key & (1 << 32) - 1, key >> 32
+        row = row[at]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, int)
+        ends = np.append(first, len(row)).astype(np.int32)
+        of = pa.array(row[first])
+        out = pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(pa.array(order[term[first]])), pa.array([f]).take(pa.array(np.zeros(len(first), np.int8))), *(chunks[c].combine_chunks().take(of) for c in GID),
+                pa.array(np.diff(ends)), dl.take(of), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[at])),
+            ],
+            ["term", "field", *GID, "tf", "dl", "positions"],
+        )
+        for i in range(0, len(out), 100_000):
+            yield out.slice(i, 100_000)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of chunks with tokens, in runs: a word is in few pages of each, and no task sorts more than a run."""
+    held, tokens_held = [], 0
+    for b in batches:
+        done = np.cumsum(sum(pc.list_value_length(b[f"{f}_tokens"]).to_numpy().astype(np.int64) for f in FIELDS))
+        start = 0
+        while start < len(b):
+            before = done[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(done, before + RUN - tokens_held, "right")))
+            held.append(b.slice(start, end - start))
+            tokens_held += int(done[end - 1] - before)
+            start = end
+            if start < len(b) or tokens_held >= RUN:
+                yield from _run(pa.Table.from_batches(held))
+                held, tokens_held = [], 0
+    if held:
+        yield from _run(pa.Table.from_batches(held))
+
+
 class TextIndex:
     """Postings, document frequencies and mean lengths as tables; rebuildable from the chunks at any time."""
 
@@ -276,21 +333,31 @@ class TextIndex:
     def build(cls, chunks: DataFrame, tokenizer: str = "default") -> TextIndex:
         """postings(term, field, gid, tf, dl, positions); stats(field, n, mean); frequencies(term, field, df)."""
         split = TOKENIZERS[tokenizer]
-        index = chunks.where("searchable").withColumns({"text_tokens": split(F.col("text")), "heading_tokens": split(F.array_join("heading_path", " "))})
-        by_field = index.select(*GID, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS])).alias("x")).select(*GID, "x.field", "x.tokens")
-        postings = (
-            by_field.select(*GID, "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-            .groupBy("term", "field", *GID)
-            .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        )
+        have = chunks.where("searchable")
+        tokenized = lambda rows: rows.select(*GID, split(F.col("text")).alias("text_tokens"), split(F.array_join("heading_path", " ")).alias("heading_tokens"))
+        index = tokenized(have)
+        fields = lambda rows: rows.select(*GID, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS])).alias("x")).select(*GID, "x.field", "x.tokens")
+        again = have.groupBy(*[F.col(c).alias(f"again_{c}") for c in GID]).count().where("count > 1").drop("count")
+        if again.isEmpty():
+            postings = index.mapInArrow(_runs, POSTINGS)
+        else:
+            # only the chunks of an identifier that rows share have to meet
+            shared = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"again_{c}")) for c in GID])
+            merged = (
+                fields(tokenized(have.join(again, shared, "left_semi"))).select(*GID, "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+                .groupBy("term", "field", *GID)
+                .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+            )
+            postings = tokenized(have.join(again, shared, "left_anti")).mapInArrow(_runs, POSTINGS).unionByName(merged)
+        by_field = fields(index)
         stats = by_field.groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.sum(F.size("tokens")) / F.count(F.lit(1)), F.lit(1.0)).alias("mean"))
         return cls(postings, stats, tokenizer=tokenizer)
 
     def save(self, path: str, partitions: int = 32) -> None:
-        """Sorted by term, so that readers skip what a query doesn't ask for.  Frequencies are counted from the postings as written."""
+        """Postings as the tasks make them, in runs sorted by term, so that readers skip pages that a query doesn't ask for and nothing is shuffled; frequencies, counted from the postings as written, in an eighth of ``partitions``."""
         spark = self.postings.sparkSession
-        # a frequent term's postings go to several partitions
-        self.postings.repartitionByRange(partitions, "term", *GID).sortWithinPartitions("term", "field", *GID).write.mode("overwrite").parquet(f"{path}/postings")
+        # deltas of ascending identifiers and positions take a fraction of the plain numbers
+        self.postings.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2").parquet(f"{path}/postings")
         counted = spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count(F.lit(1)).cast("double").alias("df"))
         counted.repartitionByRange(max(1, partitions // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
         self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")

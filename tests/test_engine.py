@@ -2,13 +2,14 @@ import hashlib
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import queries
 from quarrylight.functions import vector as V
 from quarrylight.model import check_metadata, complete, decode_cursor, encode_cursor, split_citation
-from quarrylight.operators import ranking
+from quarrylight.operators import ranking, text
 from quarrylight.operators.evaluation import evaluate, regressions
 from quarrylight.operators.text import QueryError, TextIndex, keyword_search, parse_query
 from quarrylight.operators.vectors import ClusterIndex, CompressedIndex, knn, knn_batch, two_stage
@@ -130,6 +131,41 @@ def test_index_reads_its_own_words_only(spark, chunks, tmp_path):
     assert "PartitionFilters" in plan and "cluster" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+def _shuffled(df):
+    """Exchanges of a plan, those of a join's small side or of counts included."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_in_runs(spark, tmp_path, monkeypatch):
+    """Postings are made without a shuffle, whatever the runs; rows that share an identifier are one chunk."""
+    words = ["red", "fox", "dog", "Hund", "große", "市场", "x1", "\U0001f600", "é"]
+    r = np.random.default_rng(4)
+    docs = [("kb", f"d{i // 3}", i, " ".join(r.choice(words, r.integers(0, 40))), ["Top", str(r.choice(words))]) for i in range(120)]
+    schema = "collection string, doc_id string, chunk_id long, text string, heading_path array<string>"
+
+    def want(rows):
+        out = {}
+        for c, d, i, text, path in rows:
+            for field, x in (("text", text), ("heading", " ".join(path))):
+                ws = [w for w in x.lower().split() if w != "\U0001f600"]
+                for pos, w in enumerate(ws):
+                    out.setdefault((w, field, c, d, i), []).append((pos, len(ws)))
+        return {k: (len(v), v[0][1], sorted(p for p, _ in v)) for k, v in out.items()}
+
+    got = lambda index: {tuple(p[:5]): tuple(p[5:]) for p in index.postings.collect()}
+    rows = complete(spark.createDataFrame(docs, schema).repartition(3))
+    index = TextIndex.build(rows)
+    assert _shuffled(index.postings) == 0 and got(index) == want(docs)
+    twice = docs + [docs[5]]
+    assert got(TextIndex.build(complete(spark.createDataFrame(twice, schema)))) == want(twice)
+    small = [b for b in text._runs(iter([pa.RecordBatch.from_pylist([{"collection": c, "doc_id": d, "chunk_id": i, "text_tokens": x.split(), "heading_tokens": p} for c, d, i, x, p in docs])]))]
+    monkeypatch.setattr(text, "RUN", 50)
+    many = [b for b in text._runs(iter([pa.RecordBatch.from_pylist([{"collection": c, "doc_id": d, "chunk_id": i, "text_tokens": x.split(), "heading_tokens": p} for c, d, i, x, p in docs])]))]
+    key = lambda batches: sorted(str(p) for b in batches for p in b.to_pylist())
+    assert len(many) > len(small) and key(many) == key(small)
+    assert all(b["term"].to_pylist() == sorted(b["term"].to_pylist()) for b in many)
+
+
 def test_index_tokenizer(spark, tmp_path):
     rows = spark.createDataFrame([("kb", "a", 1, "股票市场上涨 today"), ("kb", "b", 1, "市上 股场")], "collection string, doc_id string, chunk_id long, text string")
     TextIndex.build(complete(rows), "cjk_bigram").save(str(tmp_path / "t"), 2)
