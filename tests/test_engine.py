@@ -234,6 +234,26 @@ def test_batch_searches_all_words(spark, tmp_path):
     assert found == {"1", "2"}
 
 
+def test_best_of_a_batch_as_all(spark, tmp_path):
+    """The best of blocks have the k best of every query, ties too, and far fewer rows than all that matches."""
+    r = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    docs = [("kb", f"d{i}", i % 7, " ".join(r.choice(words, 12, p=np.arange(30, 0, -1) / 465)), [words[i % 3]]) for i in range(300)]
+    docs += [("kb", f"e{i}", i, "w0 w1 w2", ["w9"]) for i in range(20)]
+    rows = complete(spark.createDataFrame(docs, "collection string, doc_id string, chunk_id long, text string, heading_path array<string>"))
+    TextIndex.build(rows).save(str(tmp_path / "t"), 2)
+    index = TextIndex.load(spark, str(tmp_path / "t"))
+    asked = spark.createDataFrame([(i, " ".join(r.choice(words, 4))) for i in range(9)] + [(9, "w0 w1 w2"), (10, "none"), (11, None)], "query_id long, query string")
+    top = lambda df: {(h["query_id"], h["doc_id"], h["chunk_id"], h["key"]) for h in ranking.top(df.withColumn("key", F.round("bm25", 9)), "key", 5, ["query_id"]).collect()}
+    every = index.search(asked)
+    for options in ({}, {"block": 50, "asked": 4}):
+        assert top(index.best(asked, 5, **options)) == top(every)
+    assert index.best(asked, 5).count() < every.count() / 4
+    silent = {"text_boost": 0.0}
+    assert top(index.best(asked, 5, **silent)) == top(index.search(asked, **silent))
+    assert index.best(asked.limit(0), 5).count() == 0
+
+
 def test_query_errors():
     for bad in ("(a", "a)", "a AND", '+"'):
         with pytest.raises(QueryError):
