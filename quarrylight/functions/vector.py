@@ -6,7 +6,8 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,20 +40,36 @@ def cosine(v: Column, q: list[float]) -> Column:
     return F.when((length > EPSILON) & (length < float("inf")), dot(v, F.array(*[F.lit(float(x)) for x in q])) / (length * F.lit(n))).otherwise(0.0)
 
 
+#: Tokens that are hashed at once.
+TOKENS = 500_000
+
+
+def _hashed(rows: pa.ListArray, dim: int, prefix: str) -> np.ndarray:
+    """Unit vectors of lists of tokens; only distinct tokens become Python's strings."""
+    size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+    coded = rows.flatten().dictionary_encode()
+    digests = [hashlib.md5((prefix + w).encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+    at = np.array([int(x[:8], 16) % dim for x in digests], np.int64)
+    by = np.array([1.0 - 2.0 * (int(x[8:16], 16) % 2) for x in digests])
+    code = coded.indices.to_numpy()
+    out = np.bincount(np.repeat(np.arange(len(rows)), size) * dim + at[code], by[code], len(rows) * dim).reshape(len(rows), dim)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(length > 0, length, 1)).astype(np.float32)
+
+
 def hash_embedding(tokens: Column, dim: int, prefix: str = "") -> Column:
-    """Each token adds +1 or -1 at a place that its md5 names; then unit length.  Linear: a token is hashed once a batch."""
-
-    @F.pandas_udf("array<float>")
-    def embed(rows: pd.Series) -> pd.Series:
-        size = np.fromiter((0 if r is None else len(r) for r in rows), np.int64, len(rows))
-        words = np.concatenate([r for r in rows if r is not None and len(r)] or [np.zeros(0, object)]).astype(object)
-        code, names = pd.factorize(words)
-        digests = [hashlib.md5((prefix + w).encode()).hexdigest() for w in names]
-        at = np.array([int(x[:8], 16) % dim for x in digests], np.int64)
-        by = np.array([1.0 - 2.0 * (int(x[8:16], 16) % 2) for x in digests])
-        out = np.bincount(np.repeat(np.arange(len(rows)), size) * dim + at[code] if len(code) else np.zeros(0, np.int64), by[code] if len(code) else np.zeros(0), len(rows) * dim).reshape(len(rows), dim)
-        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return pd.Series(list((out / np.where(length > 0, length, 1)).astype(np.float32)))
+    """Each token adds +1 or -1 at a place that its md5 names; then unit length.  Linear: a token is hashed once for some rows of about TOKENS."""
+
+    @F.arrow_udf("array<float>")
+    def embed(rows: pa.Array) -> pa.Array:
+        done = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64))
+        parts, start = [], 0
+        while start < len(rows):
+            end = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + TOKENS, "right")))
+            parts.append(_hashed(rows.slice(start, end - start), dim, prefix))
+            start = end
+        x = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.reshape(-1)))
 
     return embed(tokens)
 

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +226,30 @@ def test_hash_embedding(spark):
     assert np.allclose(got[1], want / np.linalg.norm(want), atol=1e-6) and got[2] == [0.0] * 8 and got[3] == [0.0] * 8
 
 
+def test_hash_embedding_of_many_long_texts():
+    """A batch of rows is hashed in pieces: tokens don't become Python's strings, of which a batch has millions."""
+    rows = pa.array([None, []] + [[f"w{i % 5000}" for i in range(k, k + 2000)] for k in range(1000)])
+    embed = V._hashed
+    whole = embed(rows, 16, "p:")
+    tracemalloc.start()
+    assert np.array_equal(np.concatenate([embed(rows.slice(i, 100), 16, "p:") for i in range(0, len(rows), 100)]), whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and not whole[:2].any() and np.allclose((whole[2:] ** 2).sum(axis=1), 1)
+
+
+def test_hash_embedding_in_pieces(spark):
+    rows = spark.createDataFrame([(i, [f"w{j}" for j in range(i % 40)] if i % 9 else None) for i in range(300)], "id long, t array<string>").coalesce(1)
+    got = lambda: {r["id"]: r["e"] for r in rows.select("id", V.hash_embedding(F.col("t"), 8).alias("e")).collect()}
+    want = got()
+    for i in (1, 40, 299):
+        x = np.zeros(8)
+        for j in range(i % 40 if i % 9 else 0):
+            d = hashlib.md5(f"w{j}".encode()).hexdigest()
+            x[int(d[:8], 16) % 8] += 1 - 2 * (int(d[8:16], 16) % 2)
+        assert np.allclose(want[i], x / (np.linalg.norm(x) or 1), atol=1e-6)
+
+
 def test_batch_searches_all_words(spark, tmp_path):
     docs = [(1, "one two three", "en", "s", 13), (2, "only nine is here", "en", "s", 17), (3, "something else", "en", "s", 14)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
